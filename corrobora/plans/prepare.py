@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import nested, packed, timestamps
+from ..operators import hierarchy, nested, packed, timestamps
 from ..tables import table
 
 _ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
@@ -49,4 +49,33 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.unionByName(genes).unionByName(notes)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_citations, p5_found)}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.standings(table(spark, sf_dir, "terms"))
+
+
+def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.descendants(table(spark, sf_dir, "terms"))
+
+
+def p4_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.profiles(table(spark, sf_dir, "terms"))
+
+
+_EDGES = r"""
+WITH RECURSIVE n AS (SELECT DISTINCT id, upper(regexp_extract(id, '^\s*([A-Za-z]+)\s*[:_]\s*0*(\d+)', 1)) || ':' || regexp_extract(id, '^\s*([A-Za-z]+)\s*[:_]\s*0*(\d+)', 2) AS k FROM terms WHERE id IS NOT NULL),
+u AS (SELECT DISTINCT id AS child, unnest(parents) AS p FROM terms),
+e AS (SELECT DISTINCT u.child, n.id AS parent FROM u JOIN n ON n.k = upper(regexp_extract(u.p, '^\s*([A-Za-z]+)\s*[:_]\s*0*(\d+)', 1)) || ':' || regexp_extract(u.p, '^\s*([A-Za-z]+)\s*[:_]\s*0*(\d+)', 2)),
+r(node, origin, steps) AS (SELECT id, id, 0 FROM n UNION SELECT e.child, r.origin, r.steps + 1 FROM r JOIN e ON e.parent = r.node WHERE r.steps < 200),
+a AS (SELECT node, origin, min(steps) AS steps FROM r GROUP BY ALL),
+c AS (SELECT DISTINCT r.node FROM r WHERE r.node = r.origin AND r.steps > 0),
+t AS (SELECT a.* FROM a WHERE a.origin NOT IN (SELECT child FROM e))"""
+
+ORACLES = {
+    "p4_found": _EDGES + """
+SELECT node AS term_id, 'rooted' AS standing, origin AS root_id, CAST(steps AS INTEGER) AS n_steps FROM t WHERE node NOT IN (SELECT node FROM c)
+UNION ALL SELECT node, 'cycle', '', -1 FROM c
+UNION ALL SELECT id, 'stray', '', -1 FROM n WHERE id NOT IN (SELECT node FROM t) AND id NOT IN (SELECT node FROM c)""",
+    "p4_descendants": _EDGES + " SELECT origin AS ancestor, node AS descendant, CAST(steps AS INTEGER) AS n_steps FROM a",
+}
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_citations, p4_found, p4_descendants, p4_profiles, p5_found)}
