@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import appearance
+from . import appearance, name_mapping
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +15,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return appearance.same_looking_pairs(items.unionByName(terms), "src", "id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p7_found,)}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_mapping.map_names(table(spark, sf_dir, "name_queries"), table(spark, sf_dir, "ref_terms"), table(spark, sf_dir, "genes"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p7_found)}
 ORACLES: dict[str, str] = {}
