@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import appearance, name_mapping
+from . import appearance, name_mapping, truncation
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +19,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_mapping.map_names(table(spark, sf_dir, "name_queries"), table(spark, sf_dir, "ref_terms"), table(spark, sf_dir, "genes"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_found)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.judged(table(spark, sf_dir, "documents")).where("truncated").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p7_found, p10_found, p10_rates)}
 ORACLES: dict[str, str] = {}
