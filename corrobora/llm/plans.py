@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import appearance, name_mapping, truncation
+from . import appearance, consensus, name_mapping, truncation
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return appearance.same_looking_pairs(items.unionByName(terms), "src", "id", "text")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.consensus(table(spark, sf_dir, "annotations")).where("n_labels > 1").select("case_id", "requested_use", "label_field", "label")
+
+
+def p2_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.consensus(table(spark, sf_dir, "annotations"))
+
+
+def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.reliability(table(spark, sf_dir, "annotations"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_mapping.map_names(table(spark, sf_dir, "name_queries"), table(spark, sf_dir, "ref_terms"), table(spark, sf_dir, "genes"))
 
@@ -27,5 +39,5 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_found, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_consensus, p2_reliability, p6_found, p7_found, p10_found, p10_rates)}
 ORACLES: dict[str, str] = {}
