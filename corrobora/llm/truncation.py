@@ -20,6 +20,8 @@ from ..tables import cut
 
 #: What systems put after a cut.
 MARKS = r"(?:\s*(?:\[\s*(?:…|\.{3})\s*\]|…|\.{3}|\((?:more|continued|cont\.|truncated)\)|\[(?:more|continued|cont\.|truncated|cut)\]|<truncated>|�+))+$"
+#: Characters that are blank at the end of a text.
+BLANKS = " \t\r\n\u00a0\u2007\u202f\u200b\ufeff"
 #: Abbreviations whose point doesn't end a sentence.
 ABBREVIATIONS = r"(?i)(?:^|[\s(])(?:fig|figs|e\.g|i\.e|cf|vs|approx|dr|no|resp|eq|ref|suppl|et al)\.$"
 #: Log-odds of a cut that the ending adds.
@@ -29,36 +31,42 @@ BASE = -2.5
 LIKELY, LEAST, EXCESS = 0.5, 5, 6.0
 
 
-def ending(text: Column) -> dict[str, Column]:
-    """Expressions: `core` (text without blanks and marks of omission at its end), `class` of the ending."""
-    bare = F.regexp_replace(text, r"(?U)[\s​﻿]+$", "")
-    core = F.regexp_replace(F.regexp_replace(bare, MARKS, ""), r"(?U)\s+$", "")
-    return {"bare": bare, "core": core}
+def endings(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    """(doc_id, source, chars, bytes, ending) of every text; null texts are left out, a null source is ''.
+
+    Lengths are those of the whole text. Patterns look at its last line, and in that at the last two sentences, which
+    are found without a pattern; they have no limit of length.
+    """
+    t = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text")).where("text is not null")
+    t = _once(t, bare=F.rtrim(F.col("text"), F.lit(BLANKS)))
+    t = _once(t, line=F.trim(F.substring_index("bare", "\n", -1)))
+    t = _once(t, tail=F.substring_index("line", ". ", -2))
+    t = _once(t, core=F.rtrim(F.regexp_replace("tail", MARKS, ""), F.lit(BLANKS)))
+    t = _once(t, plain=F.regexp_replace("core", r"(?:</\w+>\s*)+$", ""))
+    t = _once(t, last=F.regexp_replace("plain", r"^.*[.!?][\"”’»)\]]*\s+(?=\S)", ""))
+    return t.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), _class().alias("ending"))
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once, however often they are used."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def _class() -> Column:
-    plain = F.regexp_replace("core", r"(?:</\w+>\s*)+$", "")
-    line = F.trim(F.substring_index(plain, "\n", -1))
-    last = F.regexp_replace(line, r"^.*[.!?][\"”’»)\]]*\s+(?=\S)", "")
-    closed = plain.rlike(r"[.!?。][\"”’»)\]]*$") & ~plain.rlike(ABBREVIATIONS) & ~plain.rlike(r"\b0\.$") & ~last.rlike(r"\([^()]*$")
-    torn = line.rlike(r"^\|") & ~line.rlike(r"\|$") | last.rlike(r"\([^()]*$") | last.rlike(r"“[^”]*$") | last.rlike(r"<[^<>]*$")
-    after_stop = line.rlike(r"[.!?][\"”’»)\]]*\s+[(\[][^()\[\]]*[)\]]$") | line.rlike(r"^[(\[][^()\[\]]*[)\]]$")
+    plain, line, last = F.col("plain"), F.col("line"), F.col("last")
+    closed = plain.rlike(r"[.!?。][\"”’»)\]]*$") & ~last.rlike(ABBREVIATIONS) & ~plain.rlike(r"\b0\.$") & ~last.rlike(r"\([^()]*$")
+    torn = line.rlike(r"^\|") & ~plain.rlike(r"\|$") | last.rlike(r"\([^()]*$") | last.rlike(r"“[^”]*$") | last.rlike(r"<[^<>]*$")
     listed = (
         line.rlike(r"^[|—–*•>#-]")
         | line.rlike(r"^\p{L}[\p{L} ]{1,30}:\s+\S")
         | line.rlike(r"^\S*[\d:/@]\S*$")
         | last.rlike(r"\s[-–•]\s.*\s[-–•]\s")
         | last.rlike(r"[“\"][^”\"]*[”\"]$")
-        | after_stop
+        | plain.rlike(r"[.!?][\"”’»)\]]*\s+[(\[][^()\[\]]*[)\]]$")
+        | line.rlike(r"^[(\[][^()\[\]]*[)\]]$")
     )
-    return F.when(F.col("core") == "", "blank").when(F.length("core") < F.length("bare"), "marked").when(closed, "closed").when(torn, "torn").when(listed, "listed").otherwise("open")
-
-
-def endings(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """(doc_id, source, chars, bytes, ending) of every text; null texts are left out, a null source is ''."""
-    t = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text")).where("text is not null")
-    t = t.select("doc_id", "source", "text", F.inline(F.array(F.struct(*[c.alias(n) for n, c in ending(F.col("text")).items()]))))
-    return t.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), _class().alias("ending"))
+    only = F.col("bare") == F.col("tail")  # nothing before the tail
+    return F.when((F.col("bare") == "") | only & (F.col("core") == ""), "blank").when(F.length("core") < F.length("tail"), "marked").when(closed, "closed").when(torn, "torn").when(listed, "listed").otherwise("open")
 
 
 def fit_censored(lengths: np.ndarray, counts: np.ndarray, limits: np.ndarray, held: np.ndarray, rounds: int = 60) -> tuple[float, float]:
