@@ -24,3 +24,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes a result to the shared checkpoint folder and reads it from there, so that lost executors cost nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_by(df: DataFrame, *columns: str) -> DataFrame:
+    """As cut(), dealt by the columns and sorted by them, in a way that later groupings and windows over them see.
+
+    (A plan that ran adaptively doesn't tell its partitioning after a checkpoint, so this one runs without.)
+    """
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns).sortWithinPartitions(*columns))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
