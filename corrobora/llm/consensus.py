@@ -3,8 +3,9 @@
 Annotators belong to a few communities, each with a confusion matrix per label field; an annotator's own matrix is drawn
 around that of the community, so that annotators with few labels lean on it. Variational updates go back and forth
 between the truth of the units and the matrices. The truths of a unit's fields share one joint prior that is learned
-too. Units, votes and annotators stay tables: a round joins votes with the annotators' matrices, sums per unit, joins
-back, and sums per annotator; only communities x fields x labels x labels sums come to the driver.
+too. Votes and annotators stay tables. Votes are dealt and sorted by unit once; a round joins the annotators' matrices
+to them, sums per unit in a window that needs no exchange, and sums per annotator, of which alone rows are moved. Only
+communities x fields x labels x labels sums come to the driver.
 """
 
 from __future__ import annotations
@@ -14,15 +15,17 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import cut
+from ..tables import cut, cut_by
 
 #: The labels of each field.
 FIELDS = {"admission_label": ("admitted", "review_required", "rejected"), "mapping_label": ("correct", "uncertain", "incorrect")}
 UNIT = ("case_id", "requested_use")
 ROUNDS, STRENGTH = 12, 12.0
+#: Annotators (times fields) whose matrices, some 100 bytes each, are sent to every task.
+BROADCAST_PEOPLE = 100_000
 #: Chance of the right label in a community at the start; they move from there.
 START = (0.92, 0.75, 0.5, 0.2)
 
@@ -63,11 +66,11 @@ def _start(k: int) -> np.ndarray:
 def fit(votes_df: DataFrame, unit: Sequence[str], sizes: Sequence[int], rounds: int = ROUNDS, strength: float = STRENGTH) -> tuple[DataFrame, DataFrame]:
     """(unit.., q: array per field of the posterior of its labels); (f, r, n, theta: expected matrix, flat, q_z: posterior
     of the communities)."""
-    v = cut(votes_df)
-    nf, kmax, nc = len(sizes), max(sizes), len(START)
+    v = cut_by(votes_df, *unit)
+    kmax, nc = max(sizes), len(START)
     states = list(product(*[range(k) for k in sizes]))
     community = {f: _start(k) for f, k in enumerate(sizes)}
-    mix = {f: np.ones(nc) for f in range(nf)}
+    mix = {f: np.ones(nc) for f in range(len(sizes))}
     prior = np.ones(len(states))
 
     def matrices(stats: pd.DataFrame, alpha: dict, weight: dict) -> pd.DataFrame:
@@ -82,10 +85,10 @@ def fit(votes_df: DataFrame, unit: Sequence[str], sizes: Sequence[int], rounds:
             mean = alpha[f] / alpha[f].sum(-1, keepdims=True)
             own = strength * np.einsum("rc,ctl->rtl", z, mean) + n
             flat = lambda m: [x.ravel().tolist() for x in np.pad(m, ((0, 0), (0, kmax - k), (0, kmax - k)))]
-            rows.append(pd.DataFrame({"f": part["f"].to_numpy(), "r": part["r"].to_numpy(), "n": flat(n), "lp": flat(_log_mean(own)), "theta": flat(own / own.sum(-1, keepdims=True)), "q_z": z.tolist()}))
+            rows.append(pd.DataFrame({"f": part["f"].to_numpy(), "r": part["r"].to_numpy(), "n": flat(n), "lp": flat(_log_mean(own)), "theta": flat(own / own.sum(-1, keepdims=True)), "q_z": z.tolist(), "j": part["j"].tolist()}))
         return pd.concat(rows, ignore_index=True)
 
-    shape = "f int, r string, n array<double>, lp array<double>, theta array<double>, q_z array<double>"
+    shape = "f int, r string, n array<double>, lp array<double>, theta array<double>, q_z array<double>, j array<double>"
 
     def update(stats: DataFrame) -> DataFrame:
         alpha, weight = dict(community), dict(mix)
@@ -98,35 +101,47 @@ def fit(votes_df: DataFrame, unit: Sequence[str], sizes: Sequence[int], rounds:
         return stats.mapInPandas(run, shape)
 
     zero = F.array_repeat(F.lit(0.0), kmax * kmax)
-    people = cut(update(v.select("f", "r").distinct().select("f", "r", zero.alias("n"))))
-    for _ in range(rounds):
-        said = v.join(people.select("f", "r", "lp"), ["f", "r"])
+    inside = Window.partitionBy(*unit)
+
+    def posterior(people: DataFrame) -> DataFrame:
+        """Votes with `j`, the posterior of the joint truth of their unit, and `q`, that of each field."""
         lp = lambda t: F.col("w") * F.element_at("lp", F.lit(t * kmax + 1) + F.col("l"))
-        sums = said.groupBy(*unit).agg(*[F.sum(F.when(F.col("f") == f, lp(t))).alias(f"s_{f}_{t}") for f, k in enumerate(sizes) for t in range(k)])
-        logs = [sum((F.coalesce(F.col(f"s_{f}_{t}"), F.lit(0.0)) for f, t in enumerate(s)), F.lit(float(np.log(p)))) for s, p in zip(states, prior / prior.sum())]
-        joint = sums.select(*unit, F.array(*logs).alias("j")).select(*unit, F.transform("j", lambda x: F.exp(x - F.array_max("j"))).alias("j"))
-        total = F.aggregate("j", F.lit(0.0), lambda a, x: a + x)
-        joint = joint.select(*unit, F.transform("j", lambda x: x / total).alias("j"))
+        own = people.select("f", "r", "lp")
+        said = v.join(F.broadcast(own) if few else own, ["f", "r"])
+        sums = [F.coalesce(F.sum(F.when(F.col("f") == f, lp(t))).over(inside), F.lit(0.0)).alias(f"s_{f}_{t}") for f, k in enumerate(sizes) for t in range(k)]
+        said = said.select(*v.columns, *sums, F.count("*").over(inside).alias("votes"))
+        logs = [sum((F.col(f"s_{f}_{t}") for f, t in enumerate(s)), F.lit(float(np.log(p)))) for s, p in zip(states, prior / prior.sum())]
+        j = _once(said, j=F.array(*logs))
+        j = _once(j.withColumnRenamed("j", "j0"), j1=F.transform("j0", lambda x: F.exp(x - F.array_max("j0"))))
+        j = _once(j, total=F.aggregate("j1", F.lit(0.0), lambda a, x: a + x))
+        j = _once(j, j=F.transform("j1", lambda x: x / F.col("total")))
         q = F.array(*[F.array(*[sum((F.element_at("j", i + 1) for i, s in enumerate(states) if s[f] == t), F.lit(0.0)) if t < k else F.lit(0.0) for t in range(kmax)]) for f, k in enumerate(sizes)])
-        truth = cut(joint.select(*unit, "j", q.alias("q")))
-        counts = truth.agg(*[F.sum(F.element_at("j", i + 1)) for i in range(len(states))]).first()
-        if counts[0] is None:
-            break
-        prior = np.array(list(counts)) + 1.0
-        per = v.join(truth.select(*unit, "q"), list(unit))
+        return _once(j.select(*v.columns, "votes", "j"), q=q)
+
+    none = lambda n: F.array_repeat(F.lit(0.0), n)
+    people = cut(update(v.select("f", "r").distinct().select("f", "r", none(kmax * kmax).alias("n"), none(len(states)).alias("j"))))
+    few = people.count() <= BROADCAST_PEOPLE  # else the votes are dealt by annotator and back in each round
+    for _ in range(rounds):
         at = lambda t: F.element_at(F.element_at("q", F.col("f") + 1), t + 1) * F.col("w")
-        stats = per.groupBy("f", "r").agg(F.array(*[F.sum(F.when(F.col("l") == l, at(t)).otherwise(0.0)) for t in range(kmax) for l in range(kmax)]).alias("n"))
-        people = cut(update(stats))
-        of_c = people.groupBy("f").agg(*[F.sum(F.element_at("q_z", c + 1) * F.element_at("n", i + 1)).alias(f"n_{c}_{i}") for c in range(nc) for i in range(kmax * kmax)], *[F.sum(F.element_at("q_z", c + 1)).alias(f"z_{c}") for c in range(nc)]).collect()
+        n = F.array(*[F.sum(F.when(F.col("l") == l, at(t)).otherwise(0.0)) for t in range(kmax) for l in range(kmax)]).alias("n")
+        people = cut(update(posterior(people).groupBy("f", "r").agg(n, F.array(*[F.sum(F.element_at("j", i + 1) / F.col("votes")) for i in range(len(states))]).alias("j"))))
+        of_c = people.groupBy("f").agg(
+            *[F.sum(F.element_at("q_z", c + 1) * F.element_at("n", i + 1)).alias(f"n_{c}_{i}") for c in range(nc) for i in range(kmax * kmax)],
+            *[F.sum(F.element_at("q_z", c + 1)).alias(f"z_{c}") for c in range(nc)],
+            *[F.sum(F.element_at("j", i + 1)).alias(f"j_{i}") for i in range(len(states))],
+        ).collect()
+        prior = 1.0 + sum((np.array([row[f"j_{i}"] for i in range(len(states))]) for row in of_c), np.zeros(len(states)))
         for row in of_c:
             k = sizes[row["f"]]
             n = np.array([[row[f"n_{c}_{i}"] for i in range(kmax * kmax)] for c in range(nc)]).reshape(nc, kmax, kmax)[:, :k, :k]
             community[row["f"]] = _start(k) / 10 + n
             mix[row["f"]] = 1.0 + np.array([row[f"z_{c}"] for c in range(nc)])
-    else:
-        return truth.select(*unit, "q"), people
-    empty = v.limit(0)
-    return empty.select(*unit, F.array(F.array(F.lit(0.0))).alias("q")), people
+    return posterior(people).groupBy(*unit).agg(F.first("q").alias("q")), people
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once, however often they are used."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def consensus(annotations: DataFrame, unit: Sequence[str] = UNIT, reviewer: str = "reviewer_id", fields: dict[str, Sequence[str]] = FIELDS) -> DataFrame:
