@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import cut
+
 #: Letters of other scripts that look like Latin ones, by the Latin letter.
 LOOKALIKES = {
     "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "оο", "p": "р", "q": "ԛ",
@@ -167,9 +169,11 @@ def same_looking_pairs(df: DataFrame, src: str, row_id: str, text: str) -> DataF
     held by a third of all rows is never compared with itself; its join is left to adaptive skew splitting.
     """
     rows = df.select(F.col(src).alias("src"), F.col(row_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    # one pass over the texts, of which only ids and digests are kept
     keyed = with_form(rows, "text").where("form <> ''").select("src", "id", F.unhex(F.md5("form")).alias("f"), F.unhex(F.md5("text")).alias("t"))
+    keyed = cut(keyed)
     several = keyed.groupBy("src", "f").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("src", "f")
-    kept = keyed.join(several, ["src", "f"], "left_semi").distinct()
+    kept = cut(keyed.join(several, ["src", "f"], "left_semi").distinct())
     texts = kept.select("src", "f", "t").distinct()
     pairs = texts.alias("x").join(texts.alias("y"), ["src", "f"]).where("x.t < y.t").select("src", "f", F.col("x.t").alias("t"), F.col("y.t").alias("t2"))
     left = pairs.join(kept, ["src", "f", "t"]).select("src", "f", F.col("t2").alias("t"), F.col("id").alias("i"))
