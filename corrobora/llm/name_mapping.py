@@ -218,7 +218,9 @@ def match_names(queries: DataFrame, entries: DataFrame, kind: str, general: froz
             asked = _queries(kind, [t or "" for t in texts], general)
             tries = [(q, key, code) for q, (words, _, code) in enumerate(asked) for key in probes(words, code)]
             best: list = [None] * len(texts)
-            for t, k, d in tree.search([key for _, key, _ in tries], np.array([limit(key, code) for _, key, code in tries], np.int64)):
+            exact = {q for q, key, _ in tries if key in keyed}  # nothing is nearer, so the tree is asked for these keys alone
+            tries = [x for x in tries if x[0] not in exact or x[1] in keyed]
+            for t, k, d in tree.search([key for _, key, _ in tries], np.array([0 if q in exact else limit(key, code) for q, key, code in tries], np.int64)):
                 q, key, _ = tries[t]
                 for ref_id, seen, rank, open_, words in keyed[tree.keys[k]]:
                     score = [d, len(asked[q][1] ^ seen), int(rank), int(not open_)]
