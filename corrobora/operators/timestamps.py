@@ -122,27 +122,33 @@ def _iso(seconds: Column) -> Column:
     return F.concat(F.date_from_unix_date(day.cast("int")).cast("string"), F.lit("T"), two(F.floor(rest / 3600)), F.lit(":"), two(F.floor(rest / 60) % 60), F.lit(":"), two(rest % 60), F.lit("Z"))
 
 
+def _packed(df: DataFrame, **columns: str | None) -> DataFrame:
+    """The rows as `_row`, but for a column normal_form, and the columns in question beside them, so that no other
+    column's name can clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "normal_form"]).alias("_row")
+    return df.select(row, *[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(f"_{k}") for k, c in columns.items()])
+
+
 def normal_moments(df: DataFrame, raw: str, tz: str, order: str) -> DataFrame:
     """Adds `normal_form`: the moment of `raw` as YYYY-MM-DDTHH:MM:SSZ, or null where it names none.
 
     Null, blank, unreadable and impossible values, values without a time of day, unknown zone names, local times of an
     unknown site (null `tz`) and local times skipped by a clock change give null. A local time that occurs twice means
-    its first occurrence; fractions are dropped. The rows and the other columns stay as they are.
+    its first occurrence; fractions are dropped. The rows and the other columns stay as they are, but for
+    a column normal_form, which is replaced.
     """
-    kept = df.columns
-    df = with_parts(df, raw, order)
+    df = with_parts(_packed(df, raw=raw, tz=tz, order=order), "_raw", "_order")
     df = step(df, _local=F.col("_days") * 86400 + F.col("_secs"), _offset=F.when(F.col("_zone") != "", _offset_minutes(F.col("_zone"))))
     local = F.col("_local")
-    df = step(df, _utc=F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(local), F.col(tz))))
-    back = F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds("_utc"), F.col(tz)))
+    df = step(df, _utc=F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(local), F.col("_tz"))))
+    back = F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds("_utc"), F.col("_tz")))
     df = step(df, _at=F.coalesce("_epoch", F.when(F.col("_timed"), F.when(F.col("_zone") != "", local - F.col("_offset") * 60).when(back == local, F.col("_utc")))))
-    return df.select(*kept, _iso(F.col("_at")).alias("normal_form"))
+    return df.select("_row.*", _iso(F.col("_at")).alias("normal_form"))
 
 
 def normal_days(df: DataFrame, raw: str, order: str | None = None) -> DataFrame:
     """Adds `normal_form`: the day of `raw` as YYYY-MM-DD, or null where it names no full, possible day. A time of day
     written with it is ignored if it is possible, whatever its zone."""
-    kept = df.columns
-    df = with_parts(df, raw, order)
+    df = with_parts(_packed(df, raw=raw, order=order), "_raw", "_order")
     ok = ~F.col("_timed") | F.col("_secs").isNotNull()
-    return df.withColumn("normal_form", F.when(ok, F.date_from_unix_date(F.col("_days").cast("int")).cast("string"))).select(*kept, "normal_form")
+    return df.withColumn("normal_form", F.when(ok, F.date_from_unix_date(F.col("_days").cast("int")).cast("string"))).select("_row.*", "normal_form")

@@ -76,15 +76,17 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
 
 def parse_delimited(df: DataFrame, content: str) -> DataFrame:
     """(.., row, column, value) of delimited texts in long form: tabs where the first line has one, else commas; values
-    trimmed, missing ones ''. Quoted commas are kept (quotes double inside a value)."""
+    trimmed, missing ones ''. Columns row, column and value of the input are left out. Quoted commas are kept (quotes double inside a value)."""
     lines = F.filter(F.split(F.col(content).cast("string"), r"\r?\n"), lambda x: x != "")
-    tab = F.instr(F.element_at(lines, 1), "\t") > 0
+    tab = F.instr(F.get(lines, F.lit(0)), "\t") > 0
     cells = lambda x: F.when(tab, F.split(x, "\t", -1)).otherwise(F.split(x, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
     unquoted = lambda v: F.replace(F.regexp_replace(F.trim(v), '^"|"$', ""), F.lit('""'), F.lit('"'))
-    keep = [c for c in df.columns if c != content]
-    rows = df.where(F.col(content).isNotNull()).select(*keep, cells(F.element_at(lines, 1)).alias("header"), F.posexplode(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))).alias("row", "line"), tab.alias("tab"))
-    split = rows.select(*keep, "row", "header", F.when(F.col("tab"), F.split("line", "\t", -1)).otherwise(F.split("line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)).alias("cells"))
-    return split.select(*keep, "row", F.posexplode("header").alias("k", "column"), "cells").select(*keep, "row", unquoted(F.col("column")).alias("column"), F.coalesce(unquoted(F.get("cells", F.col("k"))), F.lit("")).alias("value"))
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (content, "row", "column", "value")]).alias("_kept")
+    rows = df.where(F.col(content).isNotNull()).select(kept, cells(F.get(lines, F.lit(0))).alias("_header"), F.posexplode(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))).alias("row", "_line"), tab.alias("_tab"))
+    comma = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    split = rows.select("_kept", "row", "_header", F.when(F.col("_tab"), F.split("_line", "\t", -1)).otherwise(F.split("_line", comma, -1)).alias("_cells"))
+    wide = split.select("_kept", "row", F.posexplode("_header").alias("_k", "_column"), "_cells")
+    return wide.select("_kept.*", "row", unquoted(F.col("_column")).alias("column"), F.coalesce(unquoted(F.get("_cells", F.col("_k"))), F.lit("")).alias("value"))
 
 
 def read_exact_csv(spark: SparkSession, path: str, required: Iterable[str], optional: Iterable[str] = ()) -> DataFrame:

@@ -1,0 +1,95 @@
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from corrobora.functions import stats, text
+from corrobora.plans.relations import joined_quotes
+from corrobora.plans.texts import classic_date
+
+
+def column(spark, values, expr):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, t string")
+    return [r.v for r in df.select("k", expr(F.col("t")).alias("v")).orderBy("k").collect()]
+
+
+def test_pairs(spark):
+    got = column(spark, ["a=1; b = 2", "a=1;a=3", "a=1;", "=1", "x", None, "a=b=c"], text.pairs)
+    assert [[(p.key, p.value) for p in g] for g in got] == [[("a", "1"), ("b", "2")], [("a", "3")], [], [], [], [], [("a", "b=c")]]
+
+
+def test_quote_in(spark):
+    rows = [("ends here.", "It ends here (Table 2).", True), ("ends here.", "It ends here because", False), ("b c", "a b c d", True), ("a.", "xa y a (1); z", True), ("q\\E.", "say q\\E", True), ("...", "abc", False)]
+    df = spark.createDataFrame([(k, q, t) for k, (q, t, _) in enumerate(rows)], "k int, q string, t string")
+    assert [r.v for r in df.select("k", text.quote_in(F.col("q"), F.col("t")).alias("v")).orderBy("k").collect()] == [r[2] for r in rows]
+
+
+def test_normalised(spark):
+    assert column(spark, ["( Figure 2 ) , ﬁne – “x”", "a  b", None], text.normalized) == ['(Figure 2), fine - "x"', "a b", None]
+    assert column(spark, ["<i>Über</i> &amp; A-b", None], text.title_key) == ["überab", None]
+    assert column(spark, ['{"b": "é", "a": 1}', '{"a":1,"a":2}', '{"a": NaN}', "x", None], text.canonical_json) == ['{"a":1,"b":"\\u00e9"}', None, None, None, None]
+
+
+def test_same_value(spark):
+    rows = [("0.5", "0.54", True), ("0.50", "0.54", False), ("2", "2.4", True), ("abc ", "ABC", True), ("1", "x", False), ("nan", "nan", False)]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(rows)], "k int, a string, b string")
+    assert [r.v for r in df.select("k", text.same_value(F.col("a"), F.col("b")).alias("v")).orderBy("k").collect()] == [r[2] for r in rows]
+
+
+def test_classic_date(spark):
+    assert column(spark, ["Sep 8, 2016", "2016-09-08", "September 08, 2016", "8 Sep 2016", "2016/09/08", "not provided", "spring"], classic_date) == ["Sep 08, 2016"] * 5 + ["-", "spring"]
+
+
+def test_sentences(spark):
+    long = "One two three four five six seven eight nine ten eleven twelve. "
+    assert [len(x) for x in column(spark, [long + long + "Short one.", ""], text.sentences)] == [2, 0]
+
+
+def test_bounds():
+    assert [stats.sample_size(t) for t in (0.01, 0.05, 0.1)] == [299, 59, 29]
+    assert stats.exact_bound(0, 59) == pytest.approx(1 - 0.05 ** (1 / 59), abs=2e-6) and stats.exact_bound(5, 5) == 1.0 and stats.exact_bound(0, 0) is None
+
+
+def test_wilson(spark):
+    low, high = stats.wilson(F.lit(43), F.lit(2933))
+    r = spark.range(1).select(low.alias("a"), high.alias("b")).first()
+    assert (round(r.a * 100, 2), round(r.b * 100, 2)) == (1.09, 1.97)
+
+
+def test_kappa(spark):
+    rows = [("y", "y")] * 20 + [("y", "n")] * 5 + [("n", "y")] * 10 + [("n", "n")] * 15 + [(None, "y")]
+    assert stats.kappa(spark.createDataFrame([(1, a, b) for a, b in rows], "g int, a string, b string"), "a", "b", ["g"]).first().kappa == pytest.approx(0.4)
+
+
+def test_alpha(spark):
+    rng = random.Random(3)
+    units = {k: [rng.choice("abc") for _ in range(rng.randrange(1, 6))] for k in range(40)}
+    pairs = Counter()
+    for v in units.values():
+        for i, c in enumerate(v):
+            for j, d in enumerate(v):
+                if i != j:
+                    pairs[c, d] += 1 / (len(v) - 1)
+    total = Counter()
+    for (c, _), w in pairs.items():
+        total[c] += w
+    n = sum(total.values())
+    want = 1 - sum(w for (c, d), w in pairs.items() if c != d) / ((n * n - sum(t * t for t in total.values())) / (n - 1))
+    df = spark.createDataFrame([(1, k, x) for k, v in units.items() for x in v], "g int, u int, x string")
+    assert stats.nominal_alpha(df, ["u"], "x", ["g"]).first().alpha == pytest.approx(want)
+
+
+def test_joined_quotes(spark):
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(12)]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30)))) for k in range(60)] + [(99, None), (98, "")]
+    quotes = []
+    for k in range(80):
+        t = docs[rng.randrange(60)][1]
+        a = rng.randrange(0, max(1, len(t)))
+        quotes.append((k, t[a : a + rng.randrange(5, 40)]))
+    quotes.append((100, None))
+    got = joined_quotes(spark.createDataFrame(quotes, "id int, quote string"), spark.createDataFrame(docs, "doc_id int, text string")).distinct()
+    want = {(i, j) for i, q in quotes for j, t in docs if q is not None and t is not None and len(q.split(" ")) >= 5 and q in t}
+    assert {tuple(r) for r in got.collect()} == want
