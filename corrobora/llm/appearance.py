@@ -63,7 +63,7 @@ def tables() -> tuple[np.ndarray, ...]:
 
     start, length, pool = np.arange(SIZE, dtype=np.int64), np.ones(SIZE, np.int64), [np.arange(SIZE, dtype=np.uint32)]
     ccc = np.zeros(SIZE, np.uint8)
-    at, pairs = SIZE, {}
+    at, pairs = SIZE, set()
     for cp in [*range(0xA0, 0x30000), *range(0xE0000, 0xE0200)]:
         if 0x3400 <= cp < 0xA000 or 0xAC00 <= cp < 0xD7B0 or 0xD800 <= cp < 0xF900:  # ideographs and Hangul stay as they are
             continue
@@ -80,12 +80,10 @@ def tables() -> tuple[np.ndarray, ...]:
             if len(b) == 1:
                 a = [int(x) for x in map(ord, unicodedata.normalize("NFC", "".join(map(chr, a))))]
                 if len(a) == 1:
-                    pairs.setdefault(a[0] << 21 | b[0], cp if cp not in latin else latin[cp])
-    # the composed letter is that of the Latin base where both exist
-    for key in list(pairs):
-        nfc = unicodedata.normalize("NFC", chr(key >> 21) + chr(key & 0x1FFFFF))
-        if len(nfc) == 1:
-            pairs[key] = ord(nfc)
+                    pairs.add(a[0] << 21 | b[0])
+    # only what composes after the look-alikes are Latin letters; the letter composed is then that of the Latin base
+    joined = {key: unicodedata.normalize("NFC", chr(key >> 21) + chr(key & 0x1FFFFF)) for key in pairs}
+    pairs = {key: ord(c) for key, c in joined.items() if len(c) == 1}
     keys = np.array(sorted(pairs), np.int64)
     return start, length, np.concatenate(pool), ccc, keys, np.array([pairs[int(k)] for k in keys], np.uint32)
 

@@ -227,7 +227,7 @@ def match_names(queries: DataFrame, entries: DataFrame, kind: str, general: froz
                     if best[q] is not None and score > best[q][0] or d and not same_words(key, words):
                         continue
                     if best[q] is None or score < best[q][0]:
-                        best[q] = [score, ref_id, ref_id, open_]
+                        best[q] = [score, ref_id, ref_id, bool(open_)]
                     else:
                         best[q][1:3] = [min(best[q][1], ref_id), max(best[q][2], ref_id)]
             return best
@@ -238,7 +238,8 @@ def match_names(queries: DataFrame, entries: DataFrame, kind: str, general: froz
         distinct = list(dict.fromkeys(pdf["query_text"]))
         found = dict(zip(distinct, find(distinct)))
         rows = [found[t] for t in pdf["query_text"]]
-        return pd.DataFrame({"case_id": pdf["case_id"], "score": [r[0] if r else None for r in rows], "a": [r[1] if r else None for r in rows], "b": [r[2] if r else None for r in rows], "open": [bool(r[3]) if r else None for r in rows]})
+        of = lambda k: pd.Series([r[k] if r else None for r in rows], dtype=object, index=pdf.index)
+        return pd.DataFrame({"case_id": pdf["case_id"], "score": of(0), "a": of(1), "b": of(2), "open": of(3)})
 
     shape = f"case_id {kind_of}, score array<int>, a string, b string, open boolean"
     if shards == 1:
