@@ -127,17 +127,21 @@ def one_form(column: pa.Array) -> pa.Array:
             order = np.lexsort((marks, group))
             points, marks = points[order], marks[order]
             starts_row = first  # borders stay, as sorting never leaves a group
-            while True:  # the first mark of each letter is composed with it, again and again
-                here = np.flatnonzero((marks[1:] != 0) & (marks[:-1] == 0) & ~starts_row[1:]) + 1
-                key = points[here - 1].astype(np.int64) << 21 | points[here]
+            while True:  # each letter takes the first mark it composes with that no mark of its class stands before
+                here = np.flatnonzero(marks)
+                letter = np.maximum.accumulate(np.where((marks == 0) | starts_row, np.arange(len(points)), 0))[here]
+                free = (here > letter) & (marks[letter] == 0)
+                free &= (here - 1 == letter) | (marks[here - 1] != marks[here])
+                here, letter = here[free], letter[free]
+                key = points[letter].astype(np.int64) << 21 | points[here]
                 spot = np.searchsorted(keys, key).clip(max=len(keys) - 1)
-                hit = keys[spot] == key
-                if not hit.any():
+                hit = np.flatnonzero(keys[spot] == key)
+                if not len(hit):
                     break
-                gone = here[hit]
-                points[gone - 1] = composed[spot[hit]]
+                hit = hit[np.unique(letter[hit], return_index=True)[1]]
+                points[letter[hit]] = composed[spot[hit]]
                 keep = np.ones(len(points), bool)
-                keep[gone] = False
+                keep[here[hit]] = False
                 borders = np.concatenate(([0], np.cumsum(keep)))[borders]
                 points, marks, starts_row = points[keep], marks[keep], starts_row[keep]
     return _strings(points, borders, valid)
