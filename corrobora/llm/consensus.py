@@ -23,7 +23,9 @@ from ..tables import cut, cut_by
 #: The labels of each field.
 FIELDS = {"admission_label": ("admitted", "review_required", "rejected"), "mapping_label": ("correct", "uncertain", "incorrect")}
 UNIT = ("case_id", "requested_use")
-ROUNDS, STRENGTH = 12, 12.0
+ROUNDS, STRENGTH = 30, 12.0
+#: Rounds end when no chance in a community's matrix or the prior moves by more.
+SETTLED = 0.002
 #: Annotators (times fields) whose matrices, some 100 bytes each, are sent to every task.
 BROADCAST_PEOPLE = 100_000
 #: Chance of the right label in a community at the start; they move from there.
@@ -106,11 +108,12 @@ def fit(votes_df: DataFrame, unit: Sequence[str], sizes: Sequence[int], rounds:
     def posterior(people: DataFrame) -> DataFrame:
         """Votes with `j`, the posterior of the joint truth of their unit, and `q`, that of each field."""
         lp = lambda t: F.col("w") * F.element_at("lp", F.lit(t * kmax + 1) + F.col("l"))
-        own = people.select("f", "r", "lp")
+        # the prior comes as a column, so that every round runs the same compiled code
+        own = people.select("f", "r", "lp", F.array(*[F.lit(float(x)) for x in np.log(prior / prior.sum())]).alias("prior"))
         said = v.join(F.broadcast(own) if few else own, ["f", "r"])
         sums = [F.coalesce(F.sum(F.when(F.col("f") == f, lp(t))).over(inside), F.lit(0.0)).alias(f"s_{f}_{t}") for f, k in enumerate(sizes) for t in range(k)]
-        said = said.select(*v.columns, *sums, F.count("*").over(inside).alias("votes"))
-        logs = [sum((F.col(f"s_{f}_{t}") for f, t in enumerate(s)), F.lit(float(np.log(p)))) for s, p in zip(states, prior / prior.sum())]
+        said = said.select(*v.columns, "prior", *sums, F.count("*").over(inside).alias("votes"))
+        logs = [sum((F.col(f"s_{f}_{t}") for f, t in enumerate(s)), F.element_at("prior", i + 1)) for i, s in enumerate(states)]
         j = _once(said, j=F.array(*logs))
         j = _once(j.withColumnRenamed("j", "j0"), j1=F.transform("j0", lambda x: F.exp(x - F.array_max("j0"))))
         j = _once(j, total=F.aggregate("j1", F.lit(0.0), lambda a, x: a + x))
@@ -130,12 +133,16 @@ def fit(votes_df: DataFrame, unit: Sequence[str], sizes: Sequence[int], rounds:
             *[F.sum(F.element_at("q_z", c + 1)).alias(f"z_{c}") for c in range(nc)],
             *[F.sum(F.element_at("j", i + 1)).alias(f"j_{i}") for i in range(len(states))],
         ).collect()
+        before = np.concatenate([*[(a / a.sum(-1, keepdims=True)).ravel() for a in community.values()], prior / prior.sum()])
         prior = 1.0 + sum((np.array([row[f"j_{i}"] for i in range(len(states))]) for row in of_c), np.zeros(len(states)))
         for row in of_c:
             k = sizes[row["f"]]
             n = np.array([[row[f"n_{c}_{i}"] for i in range(kmax * kmax)] for c in range(nc)]).reshape(nc, kmax, kmax)[:, :k, :k]
             community[row["f"]] = _start(k) / 10 + n
             mix[row["f"]] = 1.0 + np.array([row[f"z_{c}"] for c in range(nc)])
+        after = np.concatenate([*[(a / a.sum(-1, keepdims=True)).ravel() for a in community.values()], prior / prior.sum()])
+        if np.abs(after - before).max() < SETTLED:
+            break
     return posterior(people).groupBy(*unit).agg(F.first("q").alias("q")), people
 
 
