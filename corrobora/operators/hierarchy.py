@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..tables import cut
 
-LOCAL_EDGES = 200_000
+LOCAL_EDGES = 20_000
 
 
 def term_key(term: Column) -> Column:
