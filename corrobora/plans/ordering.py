@@ -65,11 +65,15 @@ def split(spark, d):
 
 @query("op_W7", "WITH n AS (SELECT source, count_if(lang = 'en') AS cases FROM documents GROUP BY 1), c AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256('s7' || doc_id), doc_id) AS k FROM documents WHERE lang <> 'en') SELECT c.source, c.doc_id FROM c JOIN n USING (source) WHERE k <= round_even(cases * 0.1, 0)")
 def controls(spark, d):
+    """The first k of each stratum in hash order with k from the data: ranks within 256 key ranges of a stratum, and the
+    sizes of the ranges before from a small table, so that no stratum is sorted in one task."""
     docs = table(spark, d, "documents").select("source", "doc_id", "lang")
     n = docs.groupBy("source").agg(F.bround(F.count_if(F.col("lang") == "en") * 0.1).alias("wanted"))
-    key = F.sha2(F.concat(F.lit("s7"), F.col("doc_id").cast("string")), 256)
-    k = F.row_number().over(Window.partitionBy("source").orderBy(key, "doc_id"))
-    return docs.where("lang <> 'en'").withColumn("k", k).join(n, "source").where("k <= wanted").select("source", "doc_id")
+    rest = docs.where("lang <> 'en'").select("source", "doc_id", F.sha2(F.concat(F.lit("s7"), F.col("doc_id").cast("string")), 256).alias("key")).withColumn("part", F.substring("key", 1, 2))
+    sizes = rest.groupBy("source", "part").agg(F.count("*").alias("c"))
+    ahead = sizes.select("source", "part", (F.sum("c").over(Window.partitionBy("source").orderBy("part")) - F.col("c")).alias("ahead"))
+    inside = F.row_number().over(Window.partitionBy("source", "part").orderBy("key", "doc_id"))
+    return rest.withColumn("k", inside).join(ahead, ["source", "part"]).join(n, "source").where("ahead + k <= wanted").select("source", "doc_id")
 
 
 @query("op_W8")
