@@ -24,12 +24,13 @@ def _parse(text: str):
     return json.loads(text, parse_constant=_refuse)
 
 
-def triples(payload: str | None, lists: frozenset[str], wrappers: frozenset[str]) -> Iterator[tuple[str, list[int], str | None]]:
+def triples(payload: str | None, lists: frozenset[str], wrappers: frozenset[str], wrapped: str | None = None, never: frozenset[str] = frozenset()) -> Iterator[tuple[str, list[int], str | None]]:
     """(path, ordinals, value) of every leaf of one JSON text, in reading order; nothing for text that isn't valid JSON.
 
     Paths join member names with dots; a list adds its place to the ordinals and nothing to the path. A lone value of a
     member named in `lists` counts as a list of one. JSON objects or lists written inside a string are read as such.
-    Objects under a top-level member named in `wrappers` count as if they weren't wrapped. Empty lists and objects give
+    Objects under a top-level member named in `wrappers`, or that hold the member `wrapped` themselves (unless named in
+    `never`), count as if they weren't wrapped. Empty lists and objects give
     no triple, null leaves give a null value. Nesting beyond MAX_DEPTH counts as invalid.
     """
     if payload is None:
@@ -56,16 +57,17 @@ def triples(payload: str | None, lists: frozenset[str], wrappers: frozenset[str]
             at = [*at, 0]
         if isinstance(node, dict):
             for k, v in reversed(list(node.items())):
-                inside = path == "" and k in wrappers and isinstance(v, dict)
+                inside = path == "" and isinstance(v, dict) and (k in wrappers or wrapped is not None and wrapped in v and k not in never)
                 stack.append((v, "" if inside else f"{path}.{k}" if path else k, at, False, depth + 1))
         else:
             out.append((path, at, node if isinstance(node, str) or node is None else json.dumps(node)))
     yield from out
 
 
-def json_triples(df: DataFrame, id_col: str, payload_col: str, lists: Iterable[str] = (), wrappers: Iterable[str] = (), paths: Iterable[str] | None = None) -> DataFrame:
+def json_triples(df: DataFrame, id_col: str, payload_col: str, lists: Iterable[str] = (), wrappers: Iterable[str] = (), paths: Iterable[str] | None = None, wrapped: str | None = None, never: Iterable[str] = ()) -> DataFrame:
     """(id, path, ordinals, value) of every record, or only of the paths given. Rows with a null id or payload, or a
     payload that isn't valid JSON, give no rows. The parse is one narrow Arrow pass; nothing is shuffled."""
+    barred = frozenset(never)
     many, wrap, only = frozenset(lists), frozenset(wrappers), frozenset(paths) if paths is not None else None
     src = df.select(F.col(id_col).alias("id"), F.col(payload_col).alias("payload")).where("id is not null and payload is not null")
     kind = src.schema["id"].dataType.simpleString()
@@ -74,7 +76,7 @@ def json_triples(df: DataFrame, id_col: str, payload_col: str, lists: Iterable[s
         for batch in batches:
             ids, cols = batch.column(0), ([], [], [], [])
             for row, text in enumerate(batch.column(1).to_pylist()):
-                for path, at, value in triples(text, many, wrap):
+                for path, at, value in triples(text, many, wrap, wrapped, barred):
                     if only is None or path in only:
                         for col, x in zip(cols, (row, path, at, value)):
                             col.append(x)
@@ -100,7 +102,7 @@ POOLED = {"pooled.accepted_beyond_civic.n": False}
 
 def episode_fields(episodes: DataFrame) -> DataFrame:
     """(episode_id, field_path, outer_pos, pos, item): one row per citation, code and pooled count of the episodes."""
-    found = json_triples(episodes, "episode_id", "payload", LISTS, WRAPPERS, [*CITATIONS, *CODES, *POOLED]).where("value is not null")
+    found = json_triples(episodes, "episode_id", "payload", LISTS, WRAPPERS, [*CITATIONS, *CODES, *POOLED], "pooled", ["results", "attempts", "citations", "bioevidence"]).where("value is not null")
     n = F.size("ordinals")
     field = F.when(F.col("path").isin(list(CITATIONS)), "citations.pmid").when(F.col("path").isin(list(CODES)), "bioevidence.codes").otherwise("pooled.accepted_beyond_civic.n")
     item = F.when(field == "citations.pmid", F.regexp_replace("value", "[^0-9]", "")).otherwise(F.trim("value"))

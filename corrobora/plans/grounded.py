@@ -11,6 +11,7 @@ from ..operators import grounding as G
 from ..tables import table
 from .registry import Registry
 from .relations import _FULL, decisions, full, joined_quotes
+from .statistics import _A as _ADM
 from .statistics import _L, _PRED, labels, majority
 from .texts import _ITEMS, items
 
@@ -182,4 +183,99 @@ def as_predictions(spark, d):
     return labels(spark, d).select("case_id", "requested_use", F.col("reviewer_id").alias("method"), F.col("adm").alias("predicted_status"), F.when(F.col("requested_use") == "expert_panel", "divergent").otherwise("control").alias("subset"))
 
 
+@query("op_P3", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority LIKE '1%'")
+def status(spark, d):
+    return table(spark, d, "orders").where("o_orderstatus in ('F', 'P') and o_orderpriority like '1%'").select("o_orderkey")
+
+
+@query("op_P5", f"SELECT id, evidence_type NOT IN ('publication_quote', 'table_row', 'criteria_application') AS outside FROM {_FULL}")
+def allowlist(spark, d):
+    return full(spark, d).select("id", (~F.col("evidence_type").isin("publication_quote", "table_row", "criteria_application")).alias("outside"))
+
+
+@query("op_P6", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_discount <= 0.01 GROUP BY 1")
+def contradictions(spark, d):
+    return table(spark, d, "lineitem").where("l_discount <= 0.01").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("op_P10", f"SELECT record_id, evidence_type, bool_or(extraction_method = 'manual_curation') AS verified FROM {_FULL} GROUP BY ALL")
+def verified_types(spark, d):
+    return full(spark, d).groupBy("record_id", "evidence_type").agg(F.bool_or(F.col("extraction_method") == "manual_curation").alias("verified"))
+
+
+@query("op_P13", f"SELECT case_id, requested_use, CASE WHEN bool_or(adm = 'rejected') THEN 'refused' WHEN bool_or(adm = 'review_required') THEN 'deferred' ELSE 'accepted' END AS verdict FROM {_L} GROUP BY ALL")
+def verdicts(spark, d):
+    return labels(spark, d).groupBy("case_id", "requested_use").agg(F.when(F.bool_or(F.col("adm") == "rejected"), "refused").when(F.bool_or(F.col("adm") == "review_required"), "deferred").otherwise("accepted").alias("verdict"))
+
+
+@query("op_P14", "SELECT DISTINCT e.id, CASE WHEN w.h IS NULL THEN 'absent' WHEN left(w.h, 1) < '4' THEN 'mismatch' END AS code FROM evidence_items e LEFT JOIN (SELECT work_key, max(fulltext_sha256) AS h FROM works GROUP BY 1) w ON w.work_key = e.source_artifact_id")
+def source_bytes(spark, d):
+    """Are the bytes of the item's source at hand, and are they those expected? (Here a digest's first digit stands in.)"""
+    w = table(spark, d, "works").groupBy(F.col("work_key").alias("source_artifact_id")).agg(F.max("fulltext_sha256").alias("h"))
+    e = table(spark, d, "evidence_items").select("id", "source_artifact_id").distinct().join(w, "source_artifact_id", "left")
+    return e.select("id", G.cascade((F.col("h").isNull(), "absent"), (F.substring("h", 1, 1) < "4", "mismatch")).alias("code"))
+
+
+@query("op_P25", f"WITH a AS (SELECT record_id, source_artifact_id, count(*) AS x FROM {_ITEMS} WHERE evidence_type = 'table_row' GROUP BY ALL), b AS (SELECT record_id, source_artifact_id, count(*) AS y FROM {_ITEMS} WHERE extraction_method = 'parser' GROUP BY ALL) SELECT record_id, source_artifact_id, CASE WHEN y IS NULL THEN 'unknown' WHEN x IS NULL THEN 'omitted' WHEN x <> y THEN 'differs' END AS code FROM a FULL JOIN b USING (record_id, source_artifact_id)")
+def rebuilt(spark, d):
+    """What a record holds against what the source rebuilds: full outer join and an ordered case."""
+    key = ["record_id", "source_artifact_id"]
+    e = items(spark, d)
+    a = e.where("evidence_type = 'table_row'").groupBy(*key).agg(F.count("*").alias("x"))
+    b = e.where("extraction_method = 'parser'").groupBy(*key).agg(F.count("*").alias("y"))
+    return a.join(b, key, "full").select(*key, G.cascade((F.col("y").isNull(), "unknown"), (F.col("x").isNull(), "omitted"), (F.col("x") != F.col("y"), "differs")).alias("code"))
+
+
+@query("op_P28", f"WITH u AS (SELECT case_id, requested_use, count(*) AS k FROM {_L} GROUP BY ALL) SELECT t.task_id, u.k IS NULL AS unreviewed FROM (SELECT DISTINCT task_id, replace(task_id, 'task', 'case') AS case_id FROM llm_tasks) t LEFT JOIN (SELECT case_id, sum(k) AS k FROM u GROUP BY 1) u USING (case_id)")
+def linked(spark, d):
+    u = labels(spark, d).groupBy("case_id").agg(F.count("*").alias("k"))
+    t = table(spark, d, "llm_tasks").select("task_id", F.replace("task_id", F.lit("task"), F.lit("case")).alias("case_id")).distinct()
+    return t.join(u, "case_id", "left").select("task_id", F.col("k").isNull().alias("unreviewed"))
+
+
+@query("op_P32", f"SELECT record_id, bool_and(extraction_method IN ('llm_extraction', 'string_match')) AS weak FROM {_FULL} WHERE human GROUP BY 1")
+def aggregate_gate(spark, d):
+    return full(spark, d).where("human").groupBy("record_id").agg(F.bool_and(F.col("extraction_method").isin("llm_extraction", "string_match")).alias("weak"))
+
+
+@query("op_P33", "SELECT doc_id, CASE WHEN work_key IS NULL THEN 'no_work' WHEN work_key NOT IN (SELECT work_key FROM works WHERE work_key IS NOT NULL) THEN 'not_found' WHEN section IS NULL THEN 'no_section' WHEN lang <> 'en' OR lang IS NULL THEN 'unverifiable' ELSE 'found' END AS category FROM documents")
+def categories(spark, d):
+    w = table(spark, d, "works").select("work_key", F.lit(True).alias("there")).distinct()
+    j = table(spark, d, "documents").select("doc_id", "work_key", "section", "lang").join(w, "work_key", "left")
+    code = G.cascade((F.col("work_key").isNull(), "no_work"), (F.col("there").isNull(), "not_found"), (F.col("section").isNull(), "no_section"), (F.coalesce(F.col("lang") != "en", F.lit(True)), "unverifiable"))
+    return j.select("doc_id", F.coalesce(code, F.lit("found")).alias("category"))
+
+
+@query("op_P35", "WITH s AS (SELECT DISTINCT task_id, unnest(source) AS s FROM llm_tasks) SELECT task_id, max(CASE WHEN lower(s.review_status) LIKE '%expert%' THEN 3 WHEN lower(s.review_status) LIKE '%criteria%' THEN 1 ELSE 0 END) AS stars FROM s GROUP BY 1")
+def stars(spark, d):
+    s = table(spark, d, "llm_tasks").select("task_id", F.explode("source.review_status").alias("r"))
+    r = F.lower("r")
+    return s.groupBy("task_id").agg(F.max(F.when(r.contains("expert"), 3).when(r.contains("criteria"), 1).otherwise(0)).alias("stars"))
+
+
+@query("op_R6", "WITH s AS (SELECT DISTINCT task_id, unnest(source) AS s FROM llm_tasks) SELECT task_id, s.scv AS item_id, CASE WHEN lower(s.classification) LIKE '%pathogenic%' THEN 'supports' WHEN lower(s.classification) LIKE '%benign%' THEN 'contradicts' ELSE 'neutral' END AS direction FROM s WHERE s.scv IS NOT NULL GROUP BY ALL")
+def submissions(spark, d):
+    """A record's items from its submissions, with the direction of each."""
+    s = table(spark, d, "llm_tasks").select("task_id", F.explode("source").alias("s")).where("s.scv is not null")
+    c = F.lower("s.classification")
+    return s.select("task_id", F.col("s.scv").alias("item_id"), F.when(c.contains("pathogenic"), "supports").when(c.contains("benign"), "contradicts").otherwise("neutral").alias("direction")).distinct()
+
+
+@query("op_R9", f"SELECT record_id, extraction_method AS stance, array_to_string(list_sort(list(id)), '|') AS line FROM {_ITEMS} GROUP BY ALL")
+def lines(spark, d):
+    return items(spark, d).groupBy("record_id", F.col("extraction_method").alias("stance")).agg(F.array_join(F.array_sort(F.collect_list("id")), "|").alias("line"))
+
+
+@query("op_R19", f"SELECT annotation_id, CASE WHEN adm = map THEN 'accept' WHEN adm IS NULL OR map IS NULL THEN NULL ELSE 'defer' END AS decision FROM {_ADM}")
+def readings(spark, d):
+    from .statistics import notes
+
+    return notes(spark, d).select("annotation_id", F.when(F.col("adm") == F.col("map"), "accept").when(F.col("adm").isNull() | F.col("map").isNull(), None).otherwise("defer").alias("decision"))
+
+
+@query("op_W12", "SELECT id, array_to_string(list_sort(synonyms), '|') AS ordered FROM ref_terms WHERE synonyms IS NOT NULL")
+def ordered(spark, d):
+    return table(spark, d, "ref_terms").where("synonyms is not null").select("id", F.array_join(F.array_sort("synonyms"), "|").alias("ordered"))
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -7,10 +7,11 @@ ROWS = [
     (2, {"citations": [{"pmid": None}, {"pmid": 5}], "bioevidence": {"codes": None}, "results": {"m": {"accepted_beyond_civic": {"n": 1}, "citations": [{"pmid": 3}]}}}),
     (3, {"summary": {"pooled": {"accepted_beyond_civic": {"n": "708"}}, "results": {"pooled": {"accepted_beyond_civic": {"n": 4}}}}}),
     (4, {"attempts": {"citations": [{"pmid": 8}]}}),
+    (11, {"report": {"pooled": {"accepted_beyond_civic": {"n": 6}}}, "results": {"pooled": {"accepted_beyond_civic": {"n": 2}}}}),
 ]
 WANT = {
     (1, "citations.pmid", 0, 0, "12"), (1, "citations.pmid", 0, 3, "13"), (1, "bioevidence.codes", 0, 0, "A"), (1, "bioevidence.codes", 0, 1, "B"), (1, "citations.pmid", 1, 0, "7"), (1, "bioevidence.codes", 1, 0, "C"),
-    (2, "citations.pmid", 0, 1, "5"), (3, "pooled.accepted_beyond_civic.n", 0, 0, "708"), (4, "citations.pmid", 0, 0, "8"),
+    (2, "citations.pmid", 0, 1, "5"), (3, "pooled.accepted_beyond_civic.n", 0, 0, "708"), (4, "citations.pmid", 0, 0, "8"), (11, "pooled.accepted_beyond_civic.n", 0, 0, "6"),
 }
 
 
