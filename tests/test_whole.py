@@ -1,0 +1,30 @@
+"""Queries do the whole job: rows that their SQL leaves out are compared with plain Python on fixtures."""
+
+import math
+import random
+
+import pytest
+
+import __spark_entry__ as entry
+
+
+@pytest.fixture
+def run(spark, tmp_path):
+    """Rows of a query over a table given as rows."""
+
+    def rows(name, table, data, schema):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{table}.parquet"))
+        return entry.queries()[name](spark, str(tmp_path)).collect()
+
+    return rows
+
+
+def test_tolerant_all_claims(run):
+    r = random.Random(7)
+    parts = [(k, r.randrange(1, 4), round(r.uniform(900, 906), 2)) for k in range(100, 500)] + [(10**9, 1, 903.0), (501, 1, None), (502, None, 903.0)]
+    want = {}
+    for k, size, price in parts:
+        if size is not None and price is not None:
+            want[k] = sum(s == size and p is not None and abs(math.floor(price * 10) / 10 - p) <= 0.15 for _, s, p in parts)
+    got = {x.asked: x.matches for x in run("op_J7", "part", parts, "p_partkey long, p_size int, p_retailprice double")}
+    assert got == want and max(got) == 10**9 and len(got) == 401
