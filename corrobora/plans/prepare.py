@@ -36,10 +36,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat citation table of attempts: one row per place, with its episode, attempt and place."""
-    t = nested.json_triples(table(spark, sf_dir, "episodes"), "episode_id", "payload", nested.LISTS, nested.WRAPPERS)
-    members = {f"attempts.citations.{m}": m.replace(".", "_") for m in ("pmid", "title", "category", "quote.text", "quote.paragraph")}
-    return nested.flat_table(t, "attempts.citations", members, 2)
+    """The flat citation table, of attempts and of episodes without: one row per place, with its episode, attempt (pos_0,
+    null without attempts) and place (pos_1)."""
+    return nested.episode_table(table(spark, sf_dir, "episodes"), nested.CITATIONS).withColumnsRenamed({"attempt": "pos_0", "place": "pos_1"})
+
+
+def p3_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of codes, as p3_citations."""
+    return nested.episode_table(table(spark, sf_dir, "episodes"), nested.CODES).withColumnsRenamed({"attempt": "pos_0", "place": "pos_1"})
+
+
+def p3_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pooled figures: one row per episode, and one per bound (place) of each interval."""
+    return nested.episode_table(table(spark, sf_dir, "episodes"), nested.POOLED).drop("attempt")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +87,4 @@ UNION ALL SELECT id, 'stray', '', -1 FROM n WHERE id NOT IN (SELECT node FROM t)
     "p4_descendants": _EDGES + " SELECT origin AS ancestor, node AS descendant, CAST(steps AS INTEGER) AS n_steps FROM a",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_citations, p4_found, p4_descendants, p4_profiles, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_citations, p3_codes, p3_pooled, p4_found, p4_descendants, p4_profiles, p5_found)}

@@ -1,5 +1,6 @@
 """Queries do the whole job: rows that their SQL leaves out are compared with plain Python on fixtures."""
 
+import json
 import math
 import random
 
@@ -28,3 +29,27 @@ def test_tolerant_all_claims(run):
             want[k] = sum(s == size and p is not None and abs(math.floor(price * 10) / 10 - p) <= 0.15 for _, s, p in parts)
     got = {x.asked: x.matches for x in run("op_J7", "part", parts, "p_partkey long, p_size int, p_retailprice double")}
     assert got == want and max(got) == 10**9 and len(got) == 401
+
+
+EPISODES = [
+    (1, {"attempts": [{"citations": [{"pmid": 12, "title": "a"}, {"pmid": None}], "bioevidence": {"codes": ["A", {"rule_id": "B", "severity": "error"}]}}]}),
+    (2, {"citations": [{"pmid": 5, "quote": {"text": "q"}}, {"title": "b", "related": [{"pmid": 9}]}], "bioevidence": {"codes": "C"}}),
+    (2, {"citations": [{"pmid": 6}]}),
+    (3, {"summary": {"pooled": {"accepted_beyond_civic": {"n": 7, "wilson_95": [0.1, 0.2]}}, "citations": [{"pmid": 3}]}, "citations": [{"pmid": 4}]}),
+]
+
+
+@pytest.mark.parametrize(
+    ("name", "columns", "want"),
+    [
+        ("p3_citations", ("ancestor", "pos_0", "pos_1", "pmid", "title", "quote_text"), {(1, "attempts.citations", 0, 0, "12", "a", None), (1, "attempts.citations", 0, 1, None, None, None), (2, "citations", None, 0, "5", None, "q"), (2, "citations", None, 1, None, "b", None), (2, "citations", None, 0, "6", None, None), (3, "citations", None, 0, "3", None, None), (3, "citations", None, 0, "4", None, None)}),
+        ("p3_codes", ("ancestor", "pos_0", "pos_1", "code", "rule_id", "severity"), {(1, "attempts.bioevidence.codes", 0, 0, "A", None, None), (1, "attempts.bioevidence.codes", 0, 1, None, "B", "error"), (2, "bioevidence.codes", None, 0, "C", None, None)}),
+        ("p3_pooled", ("ancestor", "place", "accepted_beyond_civic_n", "accepted_beyond_civic_wilson_95"), {(3, None, None, "7", None), (3, "pooled.accepted_beyond_civic.wilson_95", 0, None, "0.1"), (3, "pooled.accepted_beyond_civic.wilson_95", 1, None, "0.2")}),
+        ("p3_found", ("field_path", "outer_pos", "pos", "item"), {(1, "citations.pmid", 0, 0, "12"), (1, "bioevidence.codes", 0, 0, "A"), (1, "bioevidence.codes", 0, 1, "B"), (2, "citations.pmid", 0, 0, "5"), (2, "citations.pmid", 0, 0, "6"), (2, "bioevidence.codes", 0, 0, "C"), (3, "citations.pmid", 0, 0, "3"), (3, "citations.pmid", 0, 0, "4"), (3, "pooled.accepted_beyond_civic.n", 0, 0, "7")}),
+    ],
+)
+def test_tables_of_episodes(run, name, columns, want):
+    data = [(k, json.dumps(v)) for k, v in [*EPISODES, EPISODES[0]]] + [(5, "{"), (6, None)]
+    rows = run(name, "episodes", data, "episode_id long, payload string")
+    got = [(r["episode_id" if name == "p3_found" else "id"], *[r[c] for c in columns]) for r in rows]
+    assert set(got) == want and len(got) == len(want)
