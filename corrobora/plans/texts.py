@@ -109,15 +109,15 @@ _SUBMITTED = "(SELECT DISTINCT task_id, unnest(source) AS s, generate_subscripts
 SELECT task_id, CAST(n - 1 AS INTEGER) AS pos, CASE WHEN lower(v) IN ('', '-', 'none', 'n/a', 'not provided', 'unknown') THEN '-' WHEN regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN strftime(CAST(v AS DATE), '%b %d, %Y') WHEN regexp_matches(v, '^[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}$') THEN strftime(CAST(replace(v, '/', '-') AS DATE), '%b %d, %Y') ELSE v END AS written
 FROM t WHERE NOT regexp_matches(v, '[A-Za-z]{{3}} *[0-9.]') AND NOT regexp_matches(v, '^[0-9]+ [A-Za-z]')""")
 def classic_dates(spark, d):
-    """Dates in the classic form 'Sep 08, 2016'; what names no date in a known form stays as it is (dates spelt with
-    month names are checked in the tests)."""
+    """All dates given, in the classic form 'Sep 08, 2016'; what names no date in a known form stays as it is. The SQL
+    gives those without month names only."""
     rows = table(spark, d, "llm_tasks").select("task_id", "source").distinct().select("task_id", F.posexplode("source.date_last_evaluated").alias("pos", "v")).withColumn("v", T.clean(F.col("v")))
-    rows = rows.where(~F.col("v").rlike("[A-Za-z]{3} *[0-9.]") & ~F.col("v").rlike("^[0-9]+ [A-Za-z]"))
-    return rows.select("task_id", "pos", classic_date(F.col("v")).alias("written"))
+    return rows.where("v is not null").select("task_id", "pos", classic_date(F.col("v")).alias("written"))
 
 
 def classic_date(v):
-    day = F.coalesce(*[F.when(v.rlike(form), F.try_to_date(v, pattern)) for form, pattern in ((r"^\p{L}{3} \d{1,2}, \d{4}$", "MMM d, yyyy"), (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (r"^\p{L}{4,} \d{1,2}, \d{4}$", "MMMM d, yyyy"), (r"^\d{1,2} \p{L}{3} \d{4}$", "d MMM yyyy"), (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"))])
+    forms = ((r"^\p{L}{3} \d{1,2}, \d{4}$", "MMM d, yyyy"), (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\p{L}{4,} \d{1,2}, \d{4}$", "MMMM d, yyyy"), (r"^\d{1,2} \p{L}{3} \d{4}$", "d MMM yyyy"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"))
+    day = F.coalesce(*[F.when(v.rlike(form) & ~v.rlike(r"\b0000\b"), F.try_to_date(v, pattern)) for form, pattern in forms])
     return F.when(F.lower(v).isin("", "-", "none", "n/a", "not provided", "unknown"), "-").otherwise(F.coalesce(F.date_format(day, "MMM dd, yyyy"), v))
 
 
