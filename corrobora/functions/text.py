@@ -145,8 +145,15 @@ def json_text_list(text: Column) -> Column:
     return F.coalesce(F.schema_of_variant(kinds).isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(F.from_json(text, "array<string>"), lambda x: x.isNotNull() & (F.trim(x) != "")), F.lit(False))
 
 
+def has_cue(text: Column, pattern: str) -> Column:
+    """Whether a text has a cue (NEGATION and the like) as whole words, whose letters and digits are those of Unicode, as
+    in the reference: the engine's own word bounds know ASCII only, or count joiners as letters."""
+    w = r"[\p{L}\p{N}_]"
+    return text.rlike("(?iu)(?<!" + w + ")" + pattern.removeprefix(r"(?i)\b").removesuffix(r"\b").replace(r"\w", w) + "(?!" + w + ")")
+
+
 def clean(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def choice(text: Column) -> Column:

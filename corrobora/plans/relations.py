@@ -106,7 +106,8 @@ def independent(spark, d):
 
 @query("op_P21", f"SELECT id FROM {_ITEMS} WHERE regexp_full_match(extracted_text, '[ -~]+') AND regexp_matches(extracted_text, '{T.NEGATION}')")
 def negated(spark, d):
-    return items(spark, d).where(F.col("extracted_text").rlike("^[ -~]+$") & F.col("extracted_text").rlike(T.NEGATION)).select("id")
+    """Of all texts; the SQL takes those of plain ASCII only."""
+    return items(spark, d).where(T.has_cue(F.col("extracted_text"), T.NEGATION)).select("id")
 
 
 @query("op_P27", f"SELECT annotation_id, 'label' AS problem FROM {_A} WHERE coalesce(adm, '') NOT IN ('admitted', 'review_required', 'rejected') UNION ALL SELECT min(annotation_id), 'twice' FROM {_A} GROUP BY case_id, requested_use, reviewer_id HAVING count(DISTINCT annotation_id) > 1")

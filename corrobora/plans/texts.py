@@ -90,8 +90,9 @@ def _cue(pattern: str) -> str:
 @query("op_F15", f"""SELECT evidence_type, count(*) AS n, count_if({_cue(T.NEGATION)}) AS negated, count_if({_cue(T.HEDGE)}) AS hedged, count_if({_cue(T.NON_HUMAN)} AND NOT {_cue(T.HUMAN)}) AS not_human
 FROM {_ITEMS} WHERE regexp_full_match(extracted_text, '[ -~]+') GROUP BY evidence_type""")
 def cues(spark, d):
+    """Cues in all texts that aren't empty; the SQL takes those of plain ASCII only."""
     t = F.col("extracted_text")
-    return items(spark, d).where(t.rlike("^[ -~]+$")).groupBy("evidence_type").agg(F.count("*").alias("n"), F.count_if(t.rlike(T.NEGATION)).alias("negated"), F.count_if(t.rlike(T.HEDGE)).alias("hedged"), F.count_if(t.rlike(T.NON_HUMAN) & ~t.rlike(T.HUMAN)).alias("not_human"))
+    return items(spark, d).where(t != "").groupBy("evidence_type").agg(F.count("*").alias("n"), F.count_if(T.has_cue(t, T.NEGATION)).alias("negated"), F.count_if(T.has_cue(t, T.HEDGE)).alias("hedged"), F.count_if(T.has_cue(t, T.NON_HUMAN) & ~T.has_cue(t, T.HUMAN)).alias("not_human"))
 
 
 @query("op_F16", f"""WITH c AS (SELECT DISTINCT 'NC_000007.14:' || regexp_extract(locator, '(g\\.[0-9]+[A-Z]>[A-Z])', 1) AS hgvs FROM {_ITEMS} WHERE regexp_matches(locator, 'g\\.[0-9]+[A-Z]>[A-Z]'))
@@ -133,7 +134,8 @@ def json_lists(spark, d):
 
 @query("op_F20", "SELECT DISTINCT case_id, trim(regexp_replace(query_text, '\\s+', ' ', 'g')) AS cleaned FROM name_queries WHERE regexp_full_match(query_text, '[ -~]*')")
 def cleaned(spark, d):
-    return table(spark, d, "name_queries").where(F.col("query_text").rlike("^[ -~]*$")).select("case_id", T.clean(F.col("query_text")).alias("cleaned")).distinct()
+    """All texts asked for, in single blanks; the SQL takes those of plain ASCII only."""
+    return table(spark, d, "name_queries").where("query_text is not null").select("case_id", T.clean(F.col("query_text")).alias("cleaned")).distinct()
 
 
 @query("op_F21", "SELECT DISTINCT annotation_id, regexp_replace(lower(trim(admission_label)), '[\\s-]+', '_', 'g') AS choice FROM annotations")

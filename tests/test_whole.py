@@ -4,10 +4,13 @@ import datetime as dt
 import json
 import math
 import random
+import re
+from collections import defaultdict
 
 import pytest
 
 import __spark_entry__ as entry
+from corrobora.functions import text as T
 
 
 @pytest.fixture
@@ -85,3 +88,33 @@ def clinvar_date(text):
 
 def test_dates_wanted():
     assert {v: clinvar_date(v) for v in DATES} == DATES
+
+
+TEXTS = [
+    "It did not hold.", "It didn’t, yet “not” stands.", "naïve cells were\u00a0not seen", "none\u200dthe", "\u200cno\u200c effect", "éno effect", "noé", "no\u0301 effect", "nоt", "ｎｏｔ", "NOT² seen", "It may\u2009hold\nin mice.",
+    "hypothesé", "hypothesеs", "speculatıve", "ſuggests", "Mäuse and mouse models in patienten", "Mouse, patientſ", "rats\nand women", "unaffected", "", None, "plain", "no_effect", "lack\u2028of", "lacK of",
+]
+
+
+def evidence(texts):
+    return [(k, "r", "s", None, t, "ab"[k % 2], "m") for k, t in enumerate(texts)], "id int, record_id string, source_artifact_id string, locator string, extracted_text string, evidence_type string, extraction_method string"
+
+
+def test_negation_in_all_texts(run):
+    rows = run("op_P21", "evidence_items", *evidence(TEXTS))
+    assert [TEXTS[r.id] for r in sorted(rows, key=lambda r: r.id)] == [t for t in TEXTS if t and re.search(T.NEGATION, t)]
+
+
+def test_cues_in_all_texts(run):
+    want = defaultdict(lambda: [0, 0, 0, 0])
+    for k, t in enumerate(TEXTS):
+        if t:
+            found = [True, re.search(T.NEGATION, t), re.search(T.HEDGE, t), re.search(T.NON_HUMAN, t) and not re.search(T.HUMAN, t)]
+            want["ab"[k % 2]] = [n + bool(x) for n, x in zip(want["ab"[k % 2]], found)]
+    assert {r.evidence_type: [r.n, r.negated, r.hedged, r.not_human] for r in run("op_F15", "evidence_items", *evidence(TEXTS))} == want
+
+
+def test_all_texts_cleaned(run):
+    texts = ["a \u00a0 b", "\u3000ａ\u2009b\n", "a\x1cb\x85c", "a\u200bb", "\ufeff a", "  ", "", "é  ß\t", None]
+    rows = run("op_F20", "name_queries", list(enumerate(texts)), "case_id int, query_text string")
+    assert {r.case_id: r.cleaned for r in rows} == {k: " ".join(t.split()) for k, t in enumerate(texts) if t is not None}
