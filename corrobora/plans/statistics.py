@@ -109,7 +109,8 @@ def percent_agreement(spark, d):
 
 @query("op_A9")
 def bootstrap(spark, d):
-    """Interval of alpha per use; a group's units come as counts of counts patterns, of which there are few."""
+    """Interval of alpha per use, of 2,000 resamples; a group's units come and are drawn as counts of counts patterns, of
+    which there are few."""
     names = ["admitted", "review_required", "rejected"]
     u = labels(spark, d).groupBy("requested_use", "case_id").agg(*[F.count_if(F.col("adm") == n).cast("int").alias(n) for n in names], F.count("*").alias("m")).where("m >= 2")
     u = u.groupBy("requested_use", *names).agg(F.count("*").alias("times"))
@@ -118,7 +119,7 @@ def bootstrap(spark, d):
         import pandas as pd
 
         rows = sorted(zip(*[pdf[n] for n in names], pdf["times"]))
-        got = S.bootstrap_alpha([list(map(int, r[:3])) for r in rows for _ in range(int(r[3]))], resamples=200)
+        got = S.bootstrap_alpha_counted([list(map(int, r[:3])) for r in rows], [int(r[3]) for r in rows])
         return pd.DataFrame({"requested_use": pdf["requested_use"].iloc[:1], "low": [got and got[0]], "high": [got and got[1]]})
 
     return u.groupBy("requested_use").applyInPandas(run, "requested_use string, low double, high double")

@@ -10,6 +10,7 @@ from collections import defaultdict
 import pytest
 
 import __spark_entry__ as entry
+from corrobora.functions import stats as S
 from corrobora.functions import text as T
 
 
@@ -118,3 +119,24 @@ def test_all_texts_cleaned(run):
     texts = ["a \u00a0 b", "\u3000ａ\u2009b\n", "a\x1cb\x85c", "a\u200bb", "\ufeff a", "  ", "", "é  ß\t", None]
     rows = run("op_F20", "name_queries", list(enumerate(texts)), "case_id int, query_text string")
     assert {r.case_id: r.cleaned for r in rows} == {k: " ".join(t.split()) for k, t in enumerate(texts) if t is not None}
+
+
+def test_interval_of_2000_resamples(run):
+    """The ends lie within what 2,000 resamples let them vary about those of 20,000 drawn unit by unit."""
+    r = random.Random(12)
+    names, units = ["admitted", "review_required", "rejected"], []
+    for _ in range(60):
+        truth = r.choice(names)
+        units.append([truth if r.random() < 0.7 else r.choice(names) for _ in range(r.randrange(2, 5))])
+    notes = [(f"{k}-{n}", f"c{k}", "use", f"r{n}", "s", "g", 1.0, label, "x") for k, u in enumerate(units) for n, label in enumerate(u)] + [("z", "alone", "use", "r0", "s", "g", 1.0, "admitted", "x")]
+    columns = "annotation_id string, case_id string, requested_use string, reviewer_id string, split string, group_id string, minutes_spent double, admission_label string, mapping_label string"
+    [got] = run("op_A9", "annotations", notes, columns)
+    low, high = S.bootstrap_alpha([[u.count(n) for n in names] for u in units], 20000, 1)
+    assert abs(got.low - low) < 0.01 and abs(got.high - high) < 0.01, (got, low, high)
+
+
+def test_interval_of_counted_units():
+    few = S.bootstrap_alpha_counted([[2, 0, 0], [1, 1, 0], [0, 3, 0]], [20, 10, 20])
+    many = S.bootstrap_alpha_counted([[2, 0, 0], [1, 1, 0], [0, 3, 0]], [2 * 10**9, 10**9, 2 * 10**9])
+    assert few[0] < many[0] <= many[1] < few[1] and many[1] - many[0] < 0.001
+    assert S.bootstrap_alpha_counted([], []) is None and S.bootstrap_alpha_counted([[2, 0, 0]], [5]) is None
