@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.packed import symbol_values
 from ..sources import readers, sinks
 from ..tables import table
 from .registry import Registry
@@ -37,11 +38,8 @@ def obo(spark, d):
 
 @query("op_S10", "SELECT hgnc_id, trim(unnest(string_split(trim(prev_symbol, '\"'), '|'))) AS old FROM genes WHERE prev_symbol NOT LIKE '%;%' AND prev_symbol NOT LIKE '%,%' AND prev_symbol NOT LIKE '% / %' AND prev_symbol <> '' AND NOT regexp_matches(prev_symbol, '^[|]|[|]$|[|][|]')")
 def renamed(spark, d):
-    from ..operators.packed import symbol_values
-
-    p = F.col("prev_symbol")
-    g = table(spark, d, "genes").where(~p.contains(";") & ~p.contains(",") & ~p.contains(" / ") & (p != "") & ~p.rlike(r"^[|]|[|]$|[|][|]"))
-    return g.select("hgnc_id", F.explode(symbol_values(p)).alias("old"))
+    """Of lists with any delimiter; the SQL takes those with bars and no empty places only."""
+    return table(spark, d, "genes").select("hgnc_id", F.explode(symbol_values(F.col("prev_symbol"))).alias("old"))
 
 
 @query("op_S11", "SELECT symbol AS accession, hgnc_id AS name, CAST(length(name) AS BIGINT) AS length FROM genes WHERE status = 'Approved'")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions import text as T
+from ..operators.packed import symbol_values
 from ..tables import table
 from .registry import Registry
 
@@ -262,7 +263,8 @@ def summaries(spark, d):
 
 @query("op_A33", "WITH a AS (SELECT hgnc_id, unnest(string_split(trim(alias_symbol, '\"'), '|')) AS label FROM genes WHERE alias_symbol <> '') SELECT label, count(DISTINCT hgnc_id) AS ids, CASE WHEN count(DISTINCT hgnc_id) > 1 THEN 'ambiguous' ELSE 'synonym' END AS stratum FROM a WHERE label <> '' GROUP BY 1")
 def label_strata(spark, d):
-    a = table(spark, d, "genes").select("hgnc_id", F.explode(F.split(F.btrim("alias_symbol", F.lit('"')), r"\|")).alias("label")).where("label <> ''")
+    """Of lists with any delimiter; the SQL divides at bars only."""
+    a = table(spark, d, "genes").select("hgnc_id", F.explode(symbol_values(F.col("alias_symbol"))).alias("label"))
     n = F.count_distinct("hgnc_id")
     return a.groupBy("label").agg(n.alias("ids"), F.when(n > 1, "ambiguous").otherwise("synonym").alias("stratum"))
 

@@ -140,3 +140,16 @@ def test_interval_of_counted_units():
     many = S.bootstrap_alpha_counted([[2, 0, 0], [1, 1, 0], [0, 3, 0]], [2 * 10**9, 10**9, 2 * 10**9])
     assert few[0] < many[0] <= many[1] < few[1] and many[1] - many[0] < 0.001
     assert S.bootstrap_alpha_counted([], []) is None and S.bootstrap_alpha_counted([[2, 0, 0]], [5]) is None
+
+
+LISTS = {"h1": '"A1|B1"', "h2": "A1; B2", "h3": "B2,C3 / D4", "h4": '"C3","E5"', "h5": "|F6||", "h6": "F6", "h7": "", "h8": None}
+
+
+def test_labels_of_all_lists(run):
+    rows = run("op_A33", "genes", list(LISTS.items()), "hgnc_id string, alias_symbol string")
+    assert {(r.label, r.ids, r.stratum) for r in rows} == {("A1", 2, "ambiguous"), ("B1", 1, "synonym"), ("B2", 2, "ambiguous"), ("C3", 2, "ambiguous"), ("D4", 1, "synonym"), ("E5", 1, "synonym"), ("F6", 2, "ambiguous")}
+
+
+def test_renamed_of_all_lists(run):
+    rows = run("op_S10", "genes", list(LISTS.items()), "hgnc_id string, prev_symbol string")
+    assert sorted((r.hgnc_id, r.old) for r in rows) == [("h1", "A1"), ("h1", "B1"), ("h2", "A1"), ("h2", "B2"), ("h3", "B2"), ("h3", "C3"), ("h3", "D4"), ("h4", "C3"), ("h4", "E5"), ("h5", "F6"), ("h6", "F6")]
