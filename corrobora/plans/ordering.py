@@ -151,8 +151,10 @@ def share_of_total(spark, d):
 
 @query("op_W18", "WITH s AS (SELECT DISTINCT task_id, unnest(source) AS s FROM llm_tasks) SELECT task_id, s.scv AS scv, row_number() OVER (PARTITION BY task_id ORDER BY s.submitter, s.scv, s.classification, s.date_last_evaluated, s.review_status, s.collection_method) AS n FROM s WHERE s.scv IS NOT NULL AND s.submitter IS NOT NULL AND s.classification IS NOT NULL AND s.date_last_evaluated IS NOT NULL AND s.review_status IS NOT NULL AND s.collection_method IS NOT NULL")
 def ordinals(spark, d):
-    s = table(spark, d, "llm_tasks").select("task_id", F.explode("source").alias("s")).distinct().select("task_id", "s.*").dropna()
-    n = F.row_number().over(Window.partitionBy("task_id").orderBy("submitter", "scv", "classification", "date_last_evaluated", "review_status", "collection_method"))
+    """Of all submissions, missing members last; the SQL leaves out those with a missing member."""
+    s = table(spark, d, "llm_tasks").select("task_id", F.explode("source").alias("s")).distinct().where("s is not null").select("task_id", "s.*")
+    order = ("submitter", "scv", "classification", "date_last_evaluated", "review_status", "collection_method")
+    n = F.row_number().over(Window.partitionBy("task_id").orderBy(*[F.col(c).asc_nulls_last() for c in order]))
     return s.select("task_id", "scv", n.cast("long").alias("n"))
 
 

@@ -59,8 +59,13 @@ def article(spark, d):
 
 @query("op_S14", "SELECT DISTINCT work_key, true AS found, 'Title ' || work_key AS title, license IS NULL AS retracted FROM works WHERE resolver = 'europepmc-like'")
 def resolver(spark, d):
-    w = table(spark, d, "works").where("resolver = 'europepmc-like'").select("work_key", "resolver", F.col("license").isNull().alias("r")).distinct()
-    body = F.concat(F.lit('{"resultList":{"result":[{"title":"Title '), "work_key", F.lit('","isOpenAccess":"Y","pubTypeList":{"pubType":["'), F.when(F.col("r"), "Retracted Publication").otherwise("journal article"), F.lit('"]}}]}}'))
+    """Answers made for all works in the shape of their resolver; the SQL takes one resolver only."""
+    w = table(spark, d, "works").select("work_key", "resolver", F.col("license").isNull().alias("r")).distinct()
+    title, kind = F.concat(F.lit('"Title '), "work_key", F.lit('"')), F.when(F.col("r"), '"Retracted Publication"').otherwise('"journal article"')
+    epmc = F.concat(F.lit('{"resultList":{"result":[{"title":'), title, F.lit(',"isOpenAccess":"Y","pubTypeList":{"pubType":['), kind, F.lit("]}}]}}"))
+    ncbi = F.concat(F.lit('{"result":{"uids":["1"],"1":{"uid":"1","title":'), title, F.lit(',"pubtype":['), kind, F.lit("]}}}"))
+    crossref = F.concat(F.lit('{"message":{"DOI":"10.5555/1","title":['), title, F.lit('],"updated-by":['), F.when(F.col("r"), '{"type":"retraction"}').otherwise(""), F.lit("]}}"))
+    body = F.when(F.col("resolver").contains("europepmc"), epmc).when(F.col("resolver").rlike("ncbi|pubmed"), ncbi).otherwise(crossref)
     return readers.resolver_facts(w.select("work_key", "resolver", body.alias("body")), "resolver", "body").select("work_key", "found", "title", "retracted")
 
 

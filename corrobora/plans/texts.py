@@ -145,7 +145,8 @@ def choices(spark, d):
 
 @query("op_F22", f"SELECT id, trim(trim(locator, '#[]')) AS paragraph FROM {_ITEMS} WHERE locator LIKE '#%' AND locator NOT LIKE '% %'")
 def paragraph_ids(spark, d):
-    return items(spark, d).where("locator like '#%' and locator not like '% %'").select("id", T.paragraph_id(F.col("locator")).alias("paragraph"))
+    """Of all anchors; the SQL takes those without blanks only."""
+    return items(spark, d).where("locator like '#%'").select("id", T.paragraph_id(F.col("locator")).alias("paragraph"))
 
 
 @query("op_F23", f"SELECT id, CASE WHEN instr(locator, '#') > 0 THEN list_last(string_split(locator, '#')) ELSE '' END AS anchor FROM {_ITEMS} WHERE locator IS NOT NULL")

@@ -184,7 +184,7 @@ def resolver_facts(df: DataFrame, resolver: str, body: str) -> DataFrame:
     df = df.withColumn("_v", v)
     uid = get("$.result.uids[0]")
     doc = F.from_json(F.get_json_object(body, "$.result"), "map<string,string>")[uid]
-    ncbi, epmc = F.col(resolver).contains("ncbi"), F.col(resolver).contains("europepmc")
+    ncbi, epmc = F.col(resolver).rlike("ncbi|pubmed"), F.col(resolver).contains("europepmc")
     types = F.lower(F.coalesce(F.to_json(get("$.resultList.result[0].pubTypeList.pubType", "variant")), F.lit("")))
     notes = F.lower(F.coalesce(F.to_json(get("$.resultList.result[0].commentCorrectionList.commentCorrection", "variant")), F.lit("")))
     updates = F.lower(F.concat_ws(" ", F.to_json(get("$.message['updated-by']", "variant")), F.to_json(get("$.message['update-to']", "variant"))))

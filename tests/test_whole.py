@@ -153,3 +153,22 @@ def test_labels_of_all_lists(run):
 def test_renamed_of_all_lists(run):
     rows = run("op_S10", "genes", list(LISTS.items()), "hgnc_id string, prev_symbol string")
     assert sorted((r.hgnc_id, r.old) for r in rows) == [("h1", "A1"), ("h1", "B1"), ("h2", "A1"), ("h2", "B2"), ("h3", "B2"), ("h3", "C3"), ("h3", "D4"), ("h4", "C3"), ("h4", "E5"), ("h5", "F6"), ("h6", "F6")]
+
+
+def test_all_submissions_numbered(run):
+    members = ("submitter", "scv", "classification", "date_last_evaluated", "review_status", "collection_method")
+    source = [dict(zip(members, x)) for x in [("b", "S3", "c", None, "r", "m"), ("a", None, "c", "d", "r", "m"), ("a", "S1", "c", "d", "r", "m"), (None, "S0", "c", "d", "r", "m")]] + [None]
+    rows = run("op_W18", "llm_tasks", [("t", source), ("t", source)], f"task_id string, source array<struct<{', '.join(m + ': string' for m in members)}>>")
+    assert [(r.n, r.scv) for r in sorted(rows, key=lambda r: r.n)] == [(1, "S1"), (2, None), (3, "S3"), (4, "S0")]
+
+
+def test_all_resolvers(run):
+    works = [(f"{x}{k}", f"{x}-like", licence) for x in ("europepmc", "pubmed", "crossref") for k, licence in ((0, None), (1, "cc0"))]
+    rows = run("op_S14", "works", works, "work_key string, resolver string, license string")
+    assert {(r.work_key, r.found, r.title, r.retracted) for r in rows} == {(k, True, f"Title {k}", licence is None) for k, _, licence in works}
+
+
+def test_all_anchors(run):
+    data, columns = evidence(["x"] * 5)
+    rows = run("op_F22", "evidence_items", [(*r[:3], loc, *r[4:]) for r, loc in zip(data, ["#p4", "#[p5]", "# p6 ", "#p69, #p56", "page=1"])], columns)
+    assert {r.id: r.paragraph for r in rows} == {0: "p4", 1: "p5", 2: "p6", 3: "p69, #p56"}
