@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import difflib
-import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import hierarchy
-from ..tables import table
+from ..tables import cut, table
 from .registry import Registry
 from .statistics import _A, _L, labels, million, notes
 from .texts import _ITEMS, items
@@ -76,45 +77,100 @@ def controls(spark, d):
     return rest.withColumn("k", inside).join(ahead, ["source", "part"]).join(n, "source").where("ahead + k <= wanted").select("source", "doc_id")
 
 
-@query("op_W8")
-def drawn(spark, d):
-    """A seeded draw without replacement over the sorted ids of a small population (checked to be small)."""
-    ids = table(spark, d, "reviewers").select("reviewer_id").distinct()
-    if ids.count() > 100_000:
-        return top_by_hash(ids.withColumn("all", F.lit(1)), ["all"], "reviewer_id", 10, "s8").select("reviewer_id")
-    return spark.createDataFrame([(x,) for x in random.Random(20261006).sample(sorted(r.reviewer_id for r in ids.collect()), 10)], "reviewer_id string")
+@query("op_W8", "SELECT reviewer_id FROM (SELECT DISTINCT reviewer_id FROM reviewers) ORDER BY sha256('s8' || reviewer_id), reviewer_id LIMIT 10")
+def drawn(spark, d, n=10):
+    """A draw of `n` without replacement that anyone can repeat: the first in the order of a keyed hash, the same way at
+    every size. (A seeded generator over sorted ids, as the reference has, would need all ids in one place; its draw
+    differs.) A population of fewer than n is drawn whole."""
+    ids = table(spark, d, "reviewers").select("reviewer_id").where("reviewer_id is not null").distinct()
+    return ids.orderBy(F.sha2(F.concat(F.lit("s8"), "reviewer_id"), 256), "reviewer_id").limit(n)
 
 
-@query("op_W9", "SELECT n_nationkey FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_name) AS k FROM nation) WHERE (k - 1) % 3 = 0")
+def places(df, key, parts=32):
+    """Adds `place`, the position (from 0) of each row in the order of a string key without nulls or repeats: rows are dealt into ranges
+    of the key, ranked within, and each range adds the sizes of those before, from a table of one row a range."""
+    ranged = df.repartitionByRange(parts, key).withColumn("_range", F.spark_partition_id())
+    ranged = cut(ranged)
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return ranged.withColumn("_in", inside).join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")
+
+
+@query("op_W9", "SELECT work_key FROM (SELECT work_key, row_number() OVER (ORDER BY work_key) AS k FROM (SELECT DISTINCT work_key FROM works WHERE work_key IS NOT NULL)) WHERE (k - 1) % 3 = 0")
 def every_third(spark, d):
-    k = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("n_name"))
-    return table(spark, d, "nation").withColumn("k", k).where("(k - 1) % 3 = 0").select("n_nationkey")
+    return places(table(spark, d, "works").select("work_key").where("work_key is not null").distinct(), "work_key").where("place % 3 = 0").select("work_key")
+
+
+HINTS, NEAR, BLOCK = 3, 0.75, 5000
+
+
+def near_names(rest, names):
+    """(k, name, score) of the names at least NEAR to each key, at most HINTS of each block of names; `rest` (k) against
+    all names (name) in blocks of about BLOCK keys and names.
+
+    Similarity is that of matching blocks of letters. Twice the letters two texts share at all, by their sum of lengths,
+    is never less, so a matrix of letter counts leaves few pairs to compare."""
+    salts, blocks = (F.lit(max(1, -(-df.count() // BLOCK))) for df in (rest, names))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asked = rest.withColumn("salt", F.pmod(F.hash("k"), salts)).withColumn("block", every(blocks))
+    known = names.withColumn("block", F.pmod(F.hash("name"), blocks)).withColumn("salt", every(salts))
+
+    def run(left, right):
+        texts = right["name"].tolist()
+        letters = sorted(set("".join(texts)))
+        place = {c: n for n, c in enumerate(letters)}
+
+        def row(text):
+            out = np.zeros(len(letters), np.int32)
+            for c in text:
+                if c in place:
+                    out[place[c]] += 1
+            return out
+
+        held = np.array([row(t) for t in texts], np.int32).reshape(len(texts), len(letters))
+        sizes = np.array([len(t) for t in texts])
+        found = []
+        for k in left["k"]:
+            most = 2 * np.minimum(held, row(k)).sum(axis=1) / np.maximum(sizes + len(k), 1)
+            compare = difflib.SequenceMatcher(None, "", k)
+            near = []
+            for n in np.flatnonzero(most >= NEAR):
+                compare.set_seq1(texts[n])
+                if (score := compare.ratio()) >= NEAR:
+                    near.append((score, texts[n]))
+            found.extend((k, name, score) for score, name in sorted(near, reverse=True)[:HINTS])
+        return pd.DataFrame(found, columns=["k", "name", "score"])
+
+    return asked.groupBy("salt", "block").cogroup(known.groupBy("salt", "block")).applyInPandas(run, "k string, name string, score double")
 
 
 @query("op_W10")
 def hints(spark, d):
-    """Closest reference names of queries that match none, by sequence similarity, over a broadcast list of counted
-    names (message text only; the mapping itself is p6)."""
-    names = [r.k for r in table(spark, d, "ref_terms").where("not obsolete").select(T.label_key(F.col("name")).alias("k")).distinct().collect()]
-    known = spark.sparkContext.broadcast(sorted(names))
-    q = table(spark, d, "name_queries").where("entity_type = 'cell_type'").select("case_id", T.label_key(F.col("query_text")).alias("k")).distinct().join(spark.createDataFrame([(n,) for n in names], "k string"), "k", "left_anti")
-
-    def run(batches):
-        for pdf in batches:
-            sets = [set(n.split()) for n in known.value]
-            def hint(k):
-                w = set(k.split())
-                wider = sorted((n for n, s in zip(known.value, sets) if w and w <= s), key=lambda n: (len(n), n))[:3]
-                near = wider or difflib.get_close_matches(k, [n for n, s in zip(known.value, sets) if w & s], n=3, cutoff=0.75)
-                return "; ".join(near)
-            yield pdf.assign(hint=[hint(k) for k in pdf["k"]])[["case_id", "hint"]]
-
-    return q.mapInPandas(run, "case_id long, hint string")
-
-
-@query("op_W11", "SELECT DISTINCT work_key, array_to_string(list_sort(list_distinct(urls)), '|') AS urls FROM works WHERE urls IS NOT NULL")
+    """Up to three reference names for each name asked that is none: those with all its words, shortest first, else the
+    most similar ones; '' if there are none (message text only; the mapping itself is p6).
+
+    Names with all words are met over the word of the key that fewest names have, then tested for the others."""
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
+    names = table(spark, d, "ref_terms").where("not coalesce(obsolete, false)").select(T.label_key(F.col("name")).alias("name")).where("name <> ''").distinct()
+    asked = table(spark, d, "name_queries").where("entity_type = 'cell_type' and query_text is not null").select("case_id", T.label_key(F.col("query_text")).alias("k")).distinct()
+    keys = cut(asked.select("k").distinct().join(names, F.col("k") == F.col("name"), "left_anti"))
+    by_word = names.select("name", F.explode(words(F.col("name"))).alias("word"))
+    usual = by_word.groupBy("word").agg(F.count("*").alias("n"))
+    each = keys.select("k", F.explode(words(F.col("k"))).alias("word")).join(usual, "word", "left")
+    rarest = each.groupBy("k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("w")).where("w.n > 0").select("k", "w.word")
+    wider = rarest.join(by_word, "word").where(F.size(F.array_except(words(F.col("k")), words(F.col("name")))) == 0).select("k", "name", F.length("name").alias("size"))
+    top = lambda df, *order: df.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy(*order))).where(F.col("at") <= HINTS)
+    wide = cut(top(wider, "size", "name").select("k", "name", "at"))
+    near = top(near_names(keys.join(wide, "k", "left_anti").select("k"), names), F.desc("score"), F.desc("name")).select("k", "name", "at")
+    told = wide.unionByName(near).groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), "; ").alias("hint"))
+    return asked.join(keys, "k", "left_semi").join(told, "k", "left").select("case_id", F.coalesce("hint", F.lit("")).alias("hint"))
+
+
+@query("op_W11", "SELECT DISTINCT work_key, array_to_string(list_filter(urls, lambda x, i: list_position(urls, x) = i), '|') AS urls FROM works WHERE urls IS NOT NULL")
 def ordered_dedup(spark, d):
-    return table(spark, d, "works").where("urls is not null").select("work_key", F.array_join(F.array_sort(F.array_distinct("urls")), "|").alias("urls")).distinct()
+    """Repeated members go, the first of each keeps its place."""
+    return table(spark, d, "works").where("urls is not null").select("work_key", F.array_join(F.array_distinct("urls"), "|").alias("urls")).distinct()
 
 
 @query("op_W13", "SELECT record_id, array_to_string(list_slice(list_sort(list(DISTINCT id)), 1, 3), ', ') || CASE WHEN count(DISTINCT id) > 3 THEN ' and ' || (count(DISTINCT id) - 3) || ' more' ELSE '' END AS names FROM evidence_items GROUP BY 1")
@@ -129,9 +185,9 @@ def round_robin(spark, d):
     return table(spark, d, "reviewers").select("reviewer_id", "site_id", F.row_number().over(Window.partitionBy("site_id").orderBy("reviewer_id")).cast("long").alias("turn"))
 
 
-@query("op_W15", "SELECT hgnc_id, CAST(floor((row_number() OVER (ORDER BY hgnc_id) - 1) / 25) AS BIGINT) AS batch FROM genes")
+@query("op_W15", "SELECT task_id, CAST(floor((row_number() OVER (ORDER BY task_id) - 1) / 25) AS BIGINT) AS batch FROM (SELECT DISTINCT task_id FROM llm_tasks WHERE task_id IS NOT NULL)")
 def batches(spark, d):
-    return table(spark, d, "genes").select("hgnc_id", F.floor((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("hgnc_id")) - 1) / 25).alias("batch"))
+    return places(table(spark, d, "llm_tasks").select("task_id").where("task_id is not null").distinct(), "task_id").select("task_id", F.floor(F.col("place") / 25).alias("batch"))
 
 
 @query("op_W16", "WITH a AS (SELECT work_key, min(doc_id) AS doc_id FROM documents WHERE section = 'abstract' AND work_key IS NOT NULL GROUP BY 1), b AS (SELECT work_key, min(doc_id) AS doc_id FROM documents WHERE section = 'results' AND work_key IS NOT NULL AND work_key NOT IN (SELECT work_key FROM a) GROUP BY 1) SELECT 'abstract' AS category, * FROM a UNION ALL SELECT 'results', * FROM b")
@@ -149,9 +205,9 @@ def share_of_total(spark, d):
     return g.select("source", million(F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
-@query("op_W18", "WITH s AS (SELECT DISTINCT task_id, unnest(source) AS s FROM llm_tasks) SELECT task_id, s.scv AS scv, row_number() OVER (PARTITION BY task_id ORDER BY s.submitter, s.scv, s.classification, s.date_last_evaluated, s.review_status, s.collection_method) AS n FROM s WHERE s.scv IS NOT NULL AND s.submitter IS NOT NULL AND s.classification IS NOT NULL AND s.date_last_evaluated IS NOT NULL AND s.review_status IS NOT NULL AND s.collection_method IS NOT NULL")
+@query("op_W18", "WITH s AS (SELECT DISTINCT task_id, unnest(source) AS s FROM llm_tasks) SELECT task_id, s.scv AS scv, row_number() OVER (PARTITION BY task_id ORDER BY s.submitter NULLS LAST, s.scv NULLS LAST, s.classification NULLS LAST, s.date_last_evaluated NULLS LAST, s.review_status NULLS LAST, s.collection_method NULLS LAST) AS n FROM s WHERE s IS NOT NULL")
 def ordinals(spark, d):
-    """Of all submissions, missing members last; the SQL leaves out those with a missing member."""
+    """Of all submissions, missing members last."""
     s = table(spark, d, "llm_tasks").select("task_id", F.explode("source").alias("s")).distinct().where("s is not null").select("task_id", "s.*")
     order = ("submitter", "scv", "classification", "date_last_evaluated", "review_status", "collection_method")
     n = F.row_number().over(Window.partitionBy("task_id").orderBy(*[F.col(c).asc_nulls_last() for c in order]))

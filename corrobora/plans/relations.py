@@ -11,7 +11,7 @@ from ..operators.timestamps import step
 from ..tables import table
 from .registry import Registry
 from .statistics import _A, _L, labels, notes
-from .texts import _ITEMS, items
+from .texts import _ITEMS, cue_sql, items
 
 query = Registry()
 CONTRACTS = {"research_summary": ["publication_quote"], "clinical_report": ["publication_quote", "table_row"], "expert_panel": ["criteria_application", "publication_quote"]}
@@ -104,9 +104,8 @@ def independent(spark, d):
     return labels(spark, d).groupBy("case_id", "requested_use").agg(F.count("*").alias("n"), F.bool_and(F.col("adm") == "admitted").alias("ok")).where("n >= 2 and ok").select("case_id", "requested_use")
 
 
-@query("op_P21", f"SELECT id FROM {_ITEMS} WHERE regexp_full_match(extracted_text, '[ -~]+') AND regexp_matches(extracted_text, '{T.NEGATION}')")
+@query("op_P21", f"SELECT id FROM {_ITEMS} WHERE {cue_sql(T.NEGATION)}")
 def negated(spark, d):
-    """Of all texts; the SQL takes those of plain ASCII only."""
     return items(spark, d).where(T.has_cue(F.col("extracted_text"), T.NEGATION)).select("id")
 
 
@@ -158,10 +157,10 @@ def label_terms(spark, d):
     return q.join(names, "label").groupBy("case_id").agg(F.count_distinct("id").alias("n_terms"), F.min("id").alias("first_term"))
 
 
-@query("op_J7", """WITH k AS (SELECT p_partkey, p_size, p_retailprice FROM part) SELECT l.p_partkey AS asked, count(*) AS matches FROM (SELECT p_partkey, p_size, floor(p_retailprice * 10) / 10 AS claim FROM part WHERE p_partkey <= 200) l JOIN k ON l.p_size = k.p_size AND abs(l.claim - k.p_retailprice) <= 0.15 GROUP BY 1""")
+@query("op_J7", """WITH k AS (SELECT p_partkey, p_size, p_retailprice FROM part) SELECT l.p_partkey AS asked, count(*) AS matches FROM (SELECT p_partkey, p_size, floor(p_retailprice * 10) / 10 AS claim FROM part) l JOIN k ON l.p_size = k.p_size AND abs(l.claim - k.p_retailprice) <= 0.15 GROUP BY 1""")
 def tolerant(spark, d):
     """Tolerance join of all claims, as an equality join on neighbouring buckets of the value, with the exact test behind
-    it. The SQL asks for the first ids only, so it gives a part of these rows."""
+    it."""
     p = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
     asked = p.select(F.col("p_partkey").alias("asked"), "p_size", (F.floor(F.col("p_retailprice") * 10) / 10).alias("claim"))
     asked = asked.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("claim")) - 1, F.floor(F.col("claim")) + 1)))

@@ -8,6 +8,7 @@ from ..operators.packed import symbol_values
 from ..sources import readers, sinks
 from ..tables import table
 from .registry import Registry
+from .statistics import SYMBOLS
 
 query = Registry()
 
@@ -36,9 +37,8 @@ def obo(spark, d):
     return t.select("id", "name", F.array_join("synonyms", "|").alias("synonyms"), "obsolete", F.array_join("replaced_by", "|").alias("replaced_by"))
 
 
-@query("op_S10", "SELECT hgnc_id, trim(unnest(string_split(trim(prev_symbol, '\"'), '|'))) AS old FROM genes WHERE prev_symbol NOT LIKE '%;%' AND prev_symbol NOT LIKE '%,%' AND prev_symbol NOT LIKE '% / %' AND prev_symbol <> '' AND NOT regexp_matches(prev_symbol, '^[|]|[|]$|[|][|]')")
+@query("op_S10", f"SELECT hgnc_id, unnest({SYMBOLS.format('prev_symbol')}) AS old FROM genes")
 def renamed(spark, d):
-    """Of lists with any delimiter; the SQL takes those with bars and no empty places only."""
     return table(spark, d, "genes").select("hgnc_id", F.explode(symbol_values(F.col("prev_symbol"))).alias("old"))
 
 
@@ -57,9 +57,9 @@ def article(spark, d):
     return docs.select("doc_id", "b.id", "b.kind", F.length("b.text").alias("n"))
 
 
-@query("op_S14", "SELECT DISTINCT work_key, true AS found, 'Title ' || work_key AS title, license IS NULL AS retracted FROM works WHERE resolver = 'europepmc-like'")
+@query("op_S14", "SELECT DISTINCT work_key, true AS found, 'Title ' || work_key AS title, license IS NULL AS retracted FROM works")
 def resolver(spark, d):
-    """Answers made for all works in the shape of their resolver; the SQL takes one resolver only."""
+    """Answers made for all works in the shape of their resolver."""
     w = table(spark, d, "works").select("work_key", "resolver", F.col("license").isNull().alias("r")).distinct()
     title, kind = F.concat(F.lit('"Title '), "work_key", F.lit('"')), F.when(F.col("r"), '"Retracted Publication"').otherwise('"journal article"')
     epmc = F.concat(F.lit('{"resultList":{"result":[{"title":'), title, F.lit(',"isOpenAccess":"Y","pubTypeList":{"pubType":['), kind, F.lit("]}}]}}"))

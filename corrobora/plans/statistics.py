@@ -12,6 +12,8 @@ from ..tables import table
 from .registry import Registry
 
 query = Registry()
+#: Values of a symbol list in SQL (symbols hold no delimiters, so quotes can go after the split).
+SYMBOLS = r"list_filter(list_transform(string_split_regex(coalesce({0}, ''), '\s*[;；,，|\n]\s*|\s+/\s+'), lambda x: trim(x, ' \"')), lambda x: x <> '')".replace('\\"', '"')
 _A = "(SELECT DISTINCT annotation_id, case_id, requested_use, reviewer_id, split, group_id, minutes_spent, regexp_replace(lower(trim(admission_label)), '[\\s-]+', '_', 'g') AS adm, regexp_replace(lower(trim(mapping_label)), '[\\s-]+', '_', 'g') AS map FROM annotations)"
 _L = f"(SELECT case_id, requested_use, reviewer_id, max(adm) AS adm FROM {_A} WHERE adm IN ('admitted', 'review_required', 'rejected') GROUP BY ALL)"
 
@@ -120,7 +122,7 @@ def bootstrap(spark, d):
         import pandas as pd
 
         rows = sorted(zip(*[pdf[n] for n in names], pdf["times"]))
-        got = S.bootstrap_alpha_counted([list(map(int, r[:3])) for r in rows], [int(r[3]) for r in rows])
+        got = S.resampled_alpha([list(map(int, r[:3])) for r in rows], [int(r[3]) for r in rows])
         return pd.DataFrame({"requested_use": pdf["requested_use"].iloc[:1], "low": [got and got[0]], "high": [got and got[1]]})
 
     return u.groupBy("requested_use").applyInPandas(run, "requested_use string, low double, high double")
@@ -165,11 +167,12 @@ def verdict(spark, d):
     return s.agg(F.when(F.bool_or("above") & ~F.bool_or(~F.col("above")), "shown").when(F.bool_or("above"), "indicative").otherwise("not shown").alias("verdict"))
 
 
-@query("op_A15", f"SELECT case_id, requested_use, CASE WHEN max(k) >= 3 THEN arg_max(adm, k * 10 + CASE adm WHEN 'rejected' THEN 2 WHEN 'review_required' THEN 1 ELSE 0 END) ELSE 'review_required' END AS vote FROM (SELECT case_id, requested_use, adm, count(*) AS k FROM {_L} GROUP BY ALL) GROUP BY ALL")
-def quorum(spark, d):
+@query("op_A15", f"SELECT case_id, requested_use, CASE WHEN max(k) >= 4 THEN arg_max(adm, k * 10 + CASE adm WHEN 'rejected' THEN 2 WHEN 'review_required' THEN 1 ELSE 0 END) ELSE 'review_required' END AS vote FROM (SELECT case_id, requested_use, adm, count(*) AS k FROM {_L} GROUP BY ALL) GROUP BY ALL")
+def quorum(spark, d, least=4):
+    """The leading label of a unit if it has at least `least` votes, else it needs review."""
     c = labels(spark, d).groupBy("case_id", "requested_use", "adm").agg(F.count("*").alias("k"))
     order = F.col("k") * 10 + F.when(F.col("adm") == "rejected", 2).when(F.col("adm") == "review_required", 1).otherwise(0)
-    return c.groupBy("case_id", "requested_use").agg(F.when(F.max("k") >= 3, F.max_by("adm", order)).otherwise("review_required").alias("vote"))
+    return c.groupBy("case_id", "requested_use").agg(F.when(F.max("k") >= least, F.max_by("adm", order)).otherwise("review_required").alias("vote"))
 
 
 @query("op_A16", f"SELECT case_id, requested_use, truth AS plurality, (SELECT count(DISTINCT adm) FROM {_L} l WHERE l.case_id = p.case_id AND l.requested_use = p.requested_use) = 1 AS unanimous FROM {_PRED} p")
@@ -261,9 +264,8 @@ def summaries(spark, d):
     return s.groupBy("task_id").agg(F.array_join(parts, "; ").alias("summary"))
 
 
-@query("op_A33", "WITH a AS (SELECT hgnc_id, unnest(string_split(trim(alias_symbol, '\"'), '|')) AS label FROM genes WHERE alias_symbol <> '') SELECT label, count(DISTINCT hgnc_id) AS ids, CASE WHEN count(DISTINCT hgnc_id) > 1 THEN 'ambiguous' ELSE 'synonym' END AS stratum FROM a WHERE label <> '' GROUP BY 1")
+@query("op_A33", f"WITH a AS (SELECT hgnc_id, unnest({SYMBOLS.format('alias_symbol')}) AS label FROM genes) SELECT label, count(DISTINCT hgnc_id) AS ids, CASE WHEN count(DISTINCT hgnc_id) > 1 THEN 'ambiguous' ELSE 'synonym' END AS stratum FROM a GROUP BY 1")
 def label_strata(spark, d):
-    """Of lists with any delimiter; the SQL divides at bars only."""
     a = table(spark, d, "genes").select("hgnc_id", F.explode(symbol_values(F.col("alias_symbol"))).alias("label"))
     n = F.count_distinct("hgnc_id")
     return a.groupBy("label").agg(n.alias("ids"), F.when(n > 1, "ambiguous").otherwise("synonym").alias("stratum"))

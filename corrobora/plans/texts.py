@@ -83,14 +83,16 @@ def sentence_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", "pos", F.md5("sentence").alias("sentence_md5"))
 
 
-def _cue(pattern: str) -> str:
-    return "regexp_matches(extracted_text, '" + pattern.replace("'", "''") + "')"
+def cue_sql(pattern: str, text: str = "extracted_text") -> str:
+    """has_cue in SQL: whole words by the letters and digits of Unicode around them."""
+    words = pattern.removeprefix(r"(?i)\b").removesuffix(r"\b").replace(r"\w", r"[\pL\pN_]").replace("'", "''")
+    return f"regexp_matches({text}, '(?i)(?:^|[^\\pL\\pN_]){words}(?:[^\\pL\\pN_]|$)')"
 
 
-@query("op_F15", f"""SELECT evidence_type, count(*) AS n, count_if({_cue(T.NEGATION)}) AS negated, count_if({_cue(T.HEDGE)}) AS hedged, count_if({_cue(T.NON_HUMAN)} AND NOT {_cue(T.HUMAN)}) AS not_human
-FROM {_ITEMS} WHERE regexp_full_match(extracted_text, '[ -~]+') GROUP BY evidence_type""")
+@query("op_F15", f"""SELECT evidence_type, count(*) AS n, count_if({cue_sql(T.NEGATION)}) AS negated, count_if({cue_sql(T.HEDGE)}) AS hedged, count_if({cue_sql(T.NON_HUMAN)} AND NOT {cue_sql(T.HUMAN)}) AS not_human
+FROM {_ITEMS} WHERE extracted_text <> '' GROUP BY evidence_type""")
 def cues(spark, d):
-    """Cues in all texts that aren't empty; the SQL takes those of plain ASCII only."""
+    """Cues in all texts that aren't empty."""
     t = F.col("extracted_text")
     return items(spark, d).where(t != "").groupBy("evidence_type").agg(F.count("*").alias("n"), F.count_if(T.has_cue(t, T.NEGATION)).alias("negated"), F.count_if(T.has_cue(t, T.HEDGE)).alias("hedged"), F.count_if(T.has_cue(t, T.NON_HUMAN) & ~T.has_cue(t, T.HUMAN)).alias("not_human"))
 
@@ -106,12 +108,14 @@ def hgvs(spark, d):
 _SUBMITTED = "(SELECT DISTINCT task_id, unnest(source) AS s, generate_subscripts(source, 1) AS n FROM llm_tasks)"
 
 
-@query("op_F17", f"""WITH t AS (SELECT task_id, n, trim(regexp_replace(s.date_last_evaluated, '\\s+', ' ', 'g')) AS v FROM {_SUBMITTED})
-SELECT task_id, CAST(n - 1 AS INTEGER) AS pos, CASE WHEN lower(v) IN ('', '-', 'none', 'n/a', 'not provided', 'unknown') THEN '-' WHEN regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN strftime(CAST(v AS DATE), '%b %d, %Y') WHEN regexp_matches(v, '^[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}$') THEN strftime(CAST(replace(v, '/', '-') AS DATE), '%b %d, %Y') ELSE v END AS written
-FROM t WHERE NOT regexp_matches(v, '[A-Za-z]{{3}} *[0-9.]') AND NOT regexp_matches(v, '^[0-9]+ [A-Za-z]')""")
+_FORMS = (("^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$", "%b %d, %Y"), ("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "%Y-%m-%d"), ("^[A-Za-z]{4,} [0-9]{1,2}, [0-9]{4}$", "%B %d, %Y"), ("^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$", "%d %b %Y"), ("^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "%Y/%m/%d"))
+_DAY = ", ".join(f"CASE WHEN regexp_matches(v, '{form}') THEN strftime(try_strptime(v, '{how}'), '%b %d, %Y') END" for form, how in _FORMS)
+
+
+@query("op_F17", rf"""WITH t AS (SELECT task_id, n, trim(regexp_replace(s.date_last_evaluated, '[\t-\r\x1c-\x1f\x{{85}}\pZ]+', ' ', 'g')) AS v FROM {_SUBMITTED})
+SELECT task_id, CAST(n - 1 AS INTEGER) AS pos, CASE WHEN lower(v) IN ('', '-', 'none', 'n/a', 'not provided', 'unknown') THEN '-' ELSE coalesce({_DAY}, v) END AS written FROM t WHERE v IS NOT NULL""")
 def classic_dates(spark, d):
-    """All dates given, in the classic form 'Sep 08, 2016'; what names no date in a known form stays as it is. The SQL
-    gives those without month names only."""
+    """All dates given, in the classic form 'Sep 08, 2016'; what names no date in a known form stays as it is."""
     rows = table(spark, d, "llm_tasks").select("task_id", "source").distinct().select("task_id", F.posexplode("source.date_last_evaluated").alias("pos", "v")).withColumn("v", T.clean(F.col("v")))
     return rows.where("v is not null").select("task_id", "pos", classic_date(F.col("v")).alias("written"))
 
@@ -132,9 +136,9 @@ def json_lists(spark, d):
     return table(spark, d, "annotations").where("evidence_refs_json is not null").select("annotation_id", T.json_text_list(F.col("evidence_refs_json")).alias("fine")).distinct()
 
 
-@query("op_F20", "SELECT DISTINCT case_id, trim(regexp_replace(query_text, '\\s+', ' ', 'g')) AS cleaned FROM name_queries WHERE regexp_full_match(query_text, '[ -~]*')")
+@query("op_F20", r"SELECT DISTINCT case_id, trim(regexp_replace(query_text, '[\t-\r\x1c-\x1f\x{85}\pZ]+', ' ', 'g')) AS cleaned FROM name_queries WHERE query_text IS NOT NULL")
 def cleaned(spark, d):
-    """All texts asked for, in single blanks; the SQL takes those of plain ASCII only."""
+    """All texts asked for, in single blanks."""
     return table(spark, d, "name_queries").where("query_text is not null").select("case_id", T.clean(F.col("query_text")).alias("cleaned")).distinct()
 
 
@@ -143,9 +147,8 @@ def choices(spark, d):
     return table(spark, d, "annotations").select("annotation_id", T.choice(F.col("admission_label")).alias("choice")).distinct()
 
 
-@query("op_F22", f"SELECT id, trim(trim(locator, '#[]')) AS paragraph FROM {_ITEMS} WHERE locator LIKE '#%' AND locator NOT LIKE '% %'")
+@query("op_F22", f"SELECT id, trim(trim(locator, '#[]')) AS paragraph FROM {_ITEMS} WHERE locator LIKE '#%'")
 def paragraph_ids(spark, d):
-    """Of all anchors; the SQL takes those without blanks only."""
     return items(spark, d).where("locator like '#%'").select("id", T.paragraph_id(F.col("locator")).alias("paragraph"))
 
 

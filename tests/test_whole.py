@@ -1,12 +1,14 @@
 """Queries do the whole job: rows that their SQL leaves out are compared with plain Python on fixtures."""
 
 import datetime as dt
+import difflib
 import json
 import math
 import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -121,8 +123,19 @@ def test_all_texts_cleaned(run):
     assert {r.case_id: r.cleaned for r in rows} == {k: " ".join(t.split()) for k, t in enumerate(texts) if t is not None}
 
 
+def drawn_unit_by_unit(counts, resamples=8000):
+    """Interval of alpha with every unit of every resample drawn by itself."""
+    rng, found = np.random.default_rng(1), []
+    c = np.array(counts, float)
+    for pick in rng.integers(0, len(c), (resamples, len(c))):
+        m, t = c[pick].sum(axis=1, keepdims=True), c[pick].sum(axis=0)
+        seen = (c[pick] * (m - c[pick]) / (m - 1)).sum()
+        found.append(1 - seen * (t.sum() - 1) / (t * (t.sum() - t)).sum())
+    return np.quantile(found, 0.025), np.quantile(found, 0.975)
+
+
 def test_interval_of_2000_resamples(run):
-    """The ends lie within what 2,000 resamples let them vary about those of 20,000 drawn unit by unit."""
+    """The ends lie within what 2,000 resamples let them vary about those of 8,000 drawn unit by unit."""
     r = random.Random(12)
     names, units = ["admitted", "review_required", "rejected"], []
     for _ in range(60):
@@ -131,15 +144,15 @@ def test_interval_of_2000_resamples(run):
     notes = [(f"{k}-{n}", f"c{k}", "use", f"r{n}", "s", "g", 1.0, label, "x") for k, u in enumerate(units) for n, label in enumerate(u)] + [("z", "alone", "use", "r0", "s", "g", 1.0, "admitted", "x")]
     columns = "annotation_id string, case_id string, requested_use string, reviewer_id string, split string, group_id string, minutes_spent double, admission_label string, mapping_label string"
     [got] = run("op_A9", "annotations", notes, columns)
-    low, high = S.bootstrap_alpha([[u.count(n) for n in names] for u in units], 20000, 1)
+    low, high = drawn_unit_by_unit([[u.count(n) for n in names] for u in units])
     assert abs(got.low - low) < 0.01 and abs(got.high - high) < 0.01, (got, low, high)
 
 
 def test_interval_of_counted_units():
-    few = S.bootstrap_alpha_counted([[2, 0, 0], [1, 1, 0], [0, 3, 0]], [20, 10, 20])
-    many = S.bootstrap_alpha_counted([[2, 0, 0], [1, 1, 0], [0, 3, 0]], [2 * 10**9, 10**9, 2 * 10**9])
+    few = S.resampled_alpha([[2, 0, 0], [1, 1, 0], [0, 3, 0]], [20, 10, 20])
+    many = S.resampled_alpha([[2, 0, 0], [1, 1, 0], [0, 3, 0]], [2 * 10**9, 10**9, 2 * 10**9])
     assert few[0] < many[0] <= many[1] < few[1] and many[1] - many[0] < 0.001
-    assert S.bootstrap_alpha_counted([], []) is None and S.bootstrap_alpha_counted([[2, 0, 0]], [5]) is None
+    assert S.resampled_alpha([], []) is None and S.resampled_alpha([[2, 0, 0]], [5]) is None
 
 
 LISTS = {"h1": '"A1|B1"', "h2": "A1; B2", "h3": "B2,C3 / D4", "h4": '"C3","E5"', "h5": "|F6||", "h6": "F6", "h7": "", "h8": None}
@@ -172,3 +185,19 @@ def test_all_anchors(run):
     data, columns = evidence(["x"] * 5)
     rows = run("op_F22", "evidence_items", [(*r[:3], loc, *r[4:]) for r, loc in zip(data, ["#p4", "#[p5]", "# p6 ", "#p69, #p56", "page=1"])], columns)
     assert {r.id: r.paragraph for r in rows} == {0: "p4", 1: "p5", 2: "p6", 3: "p69, #p56"}
+
+
+def test_hints(run, spark, tmp_path):
+    names = ["glioma of brain", "low grade glioma", "lipoma", "high grade glioma of the brain", "old cell", "t cell", "natural killer t cell", "creoceizun kobreseo cell"]
+    spark.createDataFrame([(str(k), n, n == "old cell") for k, n in enumerate(names)] + [("x", None, False)], "id string, name string, obsolete boolean").write.parquet(str(tmp_path / "ref_terms.parquet"))
+    asked = ["Gliomas", "lipomma", "T cells", "creoceizunkobreseo", "qqqq", "brain glioma", "", "lipoma", "old cell"]
+    rows = run("op_W10", "name_queries", [(k, "cell_type", t) for k, t in enumerate(asked)] + [(99, "gene", "lipomma"), (98, "cell_type", None)], "case_id long, entity_type string, query_text string")
+    known = [n for n in names if n != "old cell"]
+    want = {}
+    for k, t in enumerate(asked):
+        key = " ".join(w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w for w in t.lower().split())
+        if key not in known:
+            inside = [n for n in known if key and not set(key.split()) - set(n.split())]
+            inside.sort(key=lambda n: (len(n), n))
+            want[k] = "; ".join(inside[:3] or difflib.get_close_matches(key, known, 3, 0.75))
+    assert {r.case_id: r.hint for r in rows} == want and want[3]
