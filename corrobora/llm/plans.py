@@ -59,7 +59,8 @@ def p9_shares_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.judged(table(spark, sf_dir, "documents")).where("truncated").select("doc_id").distinct()
+    """Cut in mid-word or mid-sentence: a text cut right behind a full stop is no case."""
+    return truncation.judged(table(spark, sf_dir, "documents")).where("truncated and in_sentence").select("doc_id").distinct()
 
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

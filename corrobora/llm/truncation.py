@@ -2,9 +2,12 @@
 
 Texts a field limit cut all have the limit's length, so for lengths they are right-censored observations. Per source a
 log-normal distribution is fitted by maximum likelihood, texts at a candidate limit counting as "at least so long"; it
-tells how many texts would have that very length by themselves, hence the posterior that a text there was cut. The
-ending adds log-odds: a mark of omission, an open sentence or bracket speak for a cut, a closed sentence against it, a
-list, table row, address, note or signature (which authors leave without a full stop) tells little by itself.
+tells how many texts would have that very length by themselves, hence the log-odds that a text there was cut. What an
+ending says (a mark of omission, an open sentence or bracket, a list, table row, address or signature, a closed sentence)
+isn't set but learned: texts at limits, whose odds of a cut the lengths tell, show how cut texts end, the others how
+whole ones do. Expectation and maximisation over the counts of (source, limit, ending) learns both, the cuts' endings
+by source (systems mark and tear texts each in their own way) around those of all, and each source's rate of cuts away
+from limits. Both kinds of evidence are added as log-odds.
 """
 
 from __future__ import annotations
@@ -24,10 +27,16 @@ MARKS = r"(?:\s*(?:\[\s*(?:…|\.{3})\s*\]|…|\.{3}|\((?:more|continued|cont\.|
 BLANKS = " \t\r\n\u00a0\u2007\u202f\u200b\ufeff"
 #: Abbreviations whose point doesn't end a sentence.
 ABBREVIATIONS = r"(?i)(?:^|[\s(])(?:fig|figs|e\.g|i\.e|cf|vs|approx|dr|no|resp|eq|ref|suppl|et al)\.$"
-#: Log-odds of a cut that the ending adds.
-WEIGHTS = {"marked": 12.0, "open": 9.0, "torn": 9.0, "listed": -1.5, "closed": -12.0, "blank": -12.0}
-#: Log-odds of a cut away from any limit, for a text whose ending tells nothing.
-BASE = -2.5
+#: How cut and whole texts end before any are seen, which weighs as much as WEAK texts of each.
+CUT_ENDS = {"marked": 0.2, "torn": 0.1, "open": 0.6, "listed": 0.07, "closed": 0.03}
+WHOLE_ENDS = {"marked": 0.002, "torn": 0.003, "open": 0.015, "listed": 0.18, "closed": 0.8}
+WEAK = (50.0, 200.0)
+#: Cut texts whose endings weigh as much as those of all sources against a source's own.
+SHARED = 50.0
+#: Rounds end when no log-odds of an ending moves by SETTLED, at the latest after ROUNDS.
+ROUNDS, SETTLED = 25, 0.02
+#: A source's rate of cuts away from limits before any text of it is seen, as weak as ten texts.
+RATE = (0.5, 9.5)
 LIKELY, LEAST, EXCESS = 0.5, 5, 6.0
 
 
@@ -90,7 +99,7 @@ def fit_censored(lengths: np.ndarray, counts: np.ndarray, limits: np.ndarray, he
 
 
 def limits(ends: DataFrame) -> DataFrame:
-    """(source, unit, length, at_limit): posterior of a cut at every candidate limit of every source.
+    """(source, unit, length, at_limit): log-odds of a cut, by lengths alone, at every candidate limit of every source.
 
     Texts are first counted by source, unit and length, so that only counts move. Candidates are lengths where at least
     LEAST texts stand, EXCESS times as many as fall on average on the lengths within a tenth around, most of them
@@ -119,13 +128,48 @@ def limits(ends: DataFrame) -> DataFrame:
         mean, dev = fit_censored(length[~at], n[~at], length[at], n[at])
         z = (np.log(np.maximum(length[at], 1)) - mean) / dev
         natural = np.exp(-z * z / 2) / (math.sqrt(2 * math.pi) * dev * np.maximum(length[at], 1)) * n.sum()
-        return pd.DataFrame({"source": same("source"), "unit": same("unit"), "length": length[at], "at_limit": (1 - natural / n[at]).clip(0.01, 0.99)})
+        return pd.DataFrame({"source": same("source"), "unit": same("unit"), "length": length[at], "at_limit": np.log(np.maximum(n[at] - natural, 0.5) / np.maximum(natural, 1e-6))})
 
     return counted.groupBy("source", "unit").applyInPandas(fit, "source string, unit string, length int, at_limit double")
 
 
+def learned(cells: DataFrame) -> DataFrame:
+    """(source, base, adds): log-odds of a cut of a text away from any limit, and those its ending adds (in the order of
+    CUT_ENDS).
+
+    `cells`: (source, at_limit, ending, n), at_limit null away from limits. A source has few cells, so they travel as one
+    row per source; a round is a narrow pass over these and one sum per ending."""
+    ends = list(CUT_ENDS)
+    number = F.create_map(*[F.lit(x) for k, e in enumerate(ends) for x in (e, k)])
+    per = cells.groupBy("source").agg(F.collect_list(F.struct("at_limit", number[F.col("ending")].alias("e"), F.col("n").cast("double").alias("n"))).alias("cells"))
+    prior = np.array([[d[e] for e in ends] for d in (CUT_ENDS, WHOLE_ENDS)])
+    column = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    cut_ends, whole = prior
+    now = cut(per.select("source", "cells", F.lit(math.log(RATE[0] / RATE[1])).alias("base"), column(cut_ends).alias("mix")))
+    for _ in range(ROUNDS):
+        rows = now.withColumn("adds", F.zip_with("mix", column(whole), lambda m, w: F.ln(m / w)))
+        chance = lambda c: 1 / (1 + F.exp(-(F.coalesce(c["at_limit"], F.col("base")) + F.get("adds", c["e"]))))
+        rows = rows.withColumn("held", F.transform("cells", lambda c: F.struct(c["at_limit"].isNull().alias("off"), c["e"].alias("e"), c["n"].alias("n"), (c["n"] * chance(c)).alias("cut"))))
+        total = lambda f: F.aggregate("held", F.lit(0.0), lambda a, c: a + f(c))
+        own = F.array(*[total(lambda c, k=k: F.when(c["e"] == k, c["cut"]).otherwise(0.0)) for k in range(len(ends))])
+        rows = rows.select("source", "cells", "held", own.alias("own"), total(lambda c: c["cut"]).alias("cuts"), total(lambda c: F.when(c["off"], c["cut"]).otherwise(0.0)).alias("cut_off"), total(lambda c: F.when(c["off"], c["n"]).otherwise(0.0)).alias("all_off"))
+        rows = cut(rows)
+        sums = {r["e"]: (r["c"], r["w"]) for r in rows.select(F.inline("held")).groupBy("e").agg(F.sum("cut").alias("c"), F.sum(F.col("n") - F.col("cut")).alias("w")).collect()}
+        seen = np.array(WEAK)[:, None] * prior + np.array([[sums.get(k, (0.0, 0.0))[side] for k in range(len(ends))] for side in (0, 1)])
+        before = np.log(cut_ends / whole)
+        cut_ends, whole = seen / seen.sum(axis=1, keepdims=True)
+        mix = F.zip_with("own", column(cut_ends), lambda n, p: (n + SHARED * p) / (F.col("cuts") + SHARED))
+        now = rows.select("source", "cells", F.ln((F.col("cut_off") + RATE[0]) / (F.col("all_off") - F.col("cut_off") + RATE[1])).alias("base"), mix.alias("mix"))
+        if np.abs(np.log(cut_ends / whole) - before).max() < SETTLED:
+            break
+    return now.select("source", "base", F.zip_with("mix", column(whole), lambda m, w: F.ln(m / w)).alias("adds"))
+
+
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, ending, at_limit, log_odds, truncated) of every document with a text; blank texts aren't cut."""
+    """(doc_id, source, ending, at_limit, log_odds, truncated, in_sentence) of every document with a text. log_odds are
+    those of the text's limit (or its source's rate of other cuts) and its ending; truncated: they are above 0; a blank
+    text isn't cut. in_sentence: the text doesn't end as a whole sentence does; one cut at a full stop, right on a limit,
+    is truncated but not in_sentence."""
     ends = cut(endings(docs, doc_id, text, source))
     found = cut(limits(ends)).withColumnRenamed("source", "s")
     chars, sizes = (found.where(F.col("unit") == u).select("s", "length", F.col("at_limit").alias(f"at_{u}")) for u in ("chars", "bytes"))
@@ -133,10 +177,11 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     sizes = sizes.alias("b").join(chars.alias("c"), near, "left_anti")
     for mine, c in ((chars, "chars"), (sizes, "bytes")):
         ends = ends.join(mine, (F.col("source") == F.col("s")) & (F.col(c) == F.col("length")), "left").drop("s", "length")
-    ends = ends.withColumn("at_limit", F.greatest("at_chars", "at_bytes"))
-    weight = F.create_map(*[F.lit(x) for k, v in WEIGHTS.items() for x in (k, v)])
-    odds = F.coalesce(F.ln(F.col("at_limit") / (1 - F.col("at_limit"))), F.lit(BASE)) + weight[F.col("ending")]
-    return ends.select("doc_id", "source", "ending", "at_limit", odds.alias("log_odds"), (odds > 0).alias("truncated"))
+    ends = ends.select("doc_id", "source", "ending", F.greatest("at_chars", "at_bytes").alias("at_limit"))
+    cells = ends.where("ending <> 'blank'").groupBy("source", "at_limit", "ending").agg(F.count("*").alias("n"))
+    odds = F.coalesce("at_limit", "base") + F.get("adds", F.array_position(F.array(*[F.lit(e) for e in CUT_ENDS]), F.col("ending")).cast("int") - 1)
+    said = ends.join(learned(cells), "source", "left").withColumn("log_odds", F.when(F.col("ending") != "blank", odds))
+    return said.select("doc_id", "source", "ending", "at_limit", "log_odds", F.coalesce(F.col("log_odds") > 0, F.lit(False)).alias("truncated"), (~F.col("ending").isin("closed", "blank")).alias("in_sentence"))
 
 
 def rates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -32,7 +32,7 @@ def test_limit_found(spark):
     wrong = sum(got[k] != c for k, _, _, c in rows)
     assert wrong / len(rows) < 0.02
     lim = truncation.limits(truncation.endings(spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string"), "doc_id", "text", "source")).collect()
-    assert {(r.unit, r.length) for r in lim} == {("chars", 200), ("bytes", 200)} and min(r.at_limit for r in lim) > 0.9
+    assert {(r.unit, r.length) for r in lim} == {("chars", 200), ("bytes", 200)} and min(r.at_limit for r in lim) > 2
 
 
 def test_fit():
@@ -41,3 +41,19 @@ def test_fit():
     lengths, counts = np.unique(x[x < 500], return_counts=True)
     mean, dev = truncation.fit_censored(lengths, counts, np.array([500]), np.array([(x >= 500).sum()]))
     assert math.isclose(mean, 6, abs_tol=0.05) and math.isclose(dev, 0.8, abs_tol=0.05)
+
+
+def test_limit_alone_decides(spark):
+    """Texts that end with a full stop right on a limit are cut if far more of them stand there than by themselves; how
+    cut and whole texts end is learned, so the same endings off the limit stay whole."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(3000):
+        whole = " ".join(rng.choice(["It is so.", "Ok.", "Yes it is.", "We saw A1."]) for _ in range(max(2, int(rng.lognormvariate(3, 0.6)))))
+        rows.append((k, whole[:160].rstrip(), "s", len(whole[:160].rstrip()) == 160 < len(whole)))
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in truncation.judged(df).collect()}
+    closed = [k for k, t, _, c in rows if c and t.endswith(".")]
+    assert len(closed) > 50 and all(got[k].truncated and not got[k].in_sentence for k in closed)
+    off = [k for k, t, _, _ in rows if len(t) < 150]
+    assert sum(got[k].truncated for k in off) == 0
