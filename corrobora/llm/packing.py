@@ -1,25 +1,34 @@
 """Containers of fixed capacity filled with texts by a grouping genetic algorithm.
 
 A solution is a list of containers. Crossover injects well-filled containers of one parent into the other, takes out
-the other's containers that hold a document twice, and puts the displaced documents back by best fit. Documents are
-dealt to shards by hash, so that groups stay of bounded size whatever the sources; every shard is solved by several
-islands, each a task with its own population. Between epochs the best solution of an island migrates to the next one.
+the other's containers that hold a document twice, and brings the displaced documents back: containers still open
+exchange items for displaced ones that fill them better, the rest goes in by best fit. Documents are dealt to shards by
+hash, bounded in containers and in items whatever the sources; every shard is solved by several islands, each a task
+with its own population. Between epochs the best solution of an island migrates to the next one. What lies in badly
+filled containers of all shards is dealt and solved once more, so that a shard's last container costs nothing.
+
+Texts much smaller than a container are first joined to bundles of at most an eighth of it, which are packed as one
+item, so that a shard of so many items still fills many containers.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import cut
 
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 5, 12
-#: Containers per shard: enough that the one left partly filled hardly counts.
-SHARD_CONTAINERS, SHARD_ITEMS = 400, 2000
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3, 3, 4, 16
+#: A shard holds about so many containers and items at most.
+SHARD_CONTAINERS, SHARD_ITEMS = 800, 4000
+#: Texts of less than this share of a container are bundled, at most MEMBERS to a bundle; so many lie in a bucket.
+SMALL, MEMBERS, BUCKET = 16, 256, 4000
+#: Containers with more than this share of room are dissolved for the second pass.
+OPEN = 0.02
 MOST_CAPACITIES = 1000
 
 
@@ -58,6 +67,43 @@ def _fitness(room: list[int], capacity: int) -> tuple[int, float]:
     return -len(room), float((fill * fill).sum())
 
 
+def exchange(displaced: list[int], sizes: list[int], bins: list[list[int]], room: list[int]) -> list[int]:
+    """Lets every open container, the fullest first, give one or two of its items for the displaced one that fills it
+    best, as long as one does. Returns what is displaced then, largest first."""
+    free = sorted((sizes[i], i) for i in displaced)
+    for b in sorted((b for b, r in enumerate(room) if r > 0), key=room.__getitem__):
+        while room[b] > 0 and free:
+            own, gain, deal = bins[b], 0, None
+            for away in [(i,) for i in own] + [(i, j) for n, i in enumerate(own) for j in own[:n] if len(own) <= FEW_ITEMS]:
+                given = sum(sizes[i] for i in away)
+                at = bisect_right(free, (given + room[b], len(sizes))) - 1
+                if at >= 0 and free[at][0] - given > gain:
+                    gain, deal = free[at][0] - given, (away, at)
+            if deal is None:
+                break
+            bins[b] = [i for i in own if i not in deal[0]] + [free.pop(deal[1])[1]]
+            room[b] -= gain
+            for i in deal[0]:
+                insort(free, (sizes[i], i))
+    return [i for _, i in reversed(free)]
+
+
+#: Containers of more items than this take no part in exchanges of two items.
+FEW_ITEMS = 8
+
+
+def fewest(sizes: list[int], capacity: int) -> int:
+    """A number of containers no solution can do without: the sum of sizes, or, for every small size k, items over half
+    a container take one each, and those of at least k must fit beside the ones they fit beside at all."""
+    s = np.sort(np.array(sizes, np.int64))[::-1]
+    total = np.concatenate(([0], np.cumsum(s)))
+    least = -(-int(total[-1]) // capacity)
+    k = np.unique(s[(s > 0) & (s <= capacity // 2)])
+    alone, large, some = (np.searchsorted(-s, x, side) for x, side in ((-(capacity - k), "left"), (-(capacity // 2), "left"), (-k, "right")))
+    over = (total[some] - total[large]) - ((large - alone) * capacity - (total[large] - total[alone]))
+    return max([least, int((s > capacity // 2).sum()), *(large + np.maximum(0, -(-over // capacity))).tolist()])
+
+
 def crossover(one, two, sizes: list[int], capacity: int, rng: np.random.Generator):
     """A child: the better-filled containers of `one`, then what can stay of `two`, then the displaced by best fit."""
     bins1, room1 = one
@@ -72,16 +118,15 @@ def crossover(one, two, sizes: list[int], capacity: int, rng: np.random.Generato
         for it in bins1[b]:
             placed[it] = 1
     displaced = []
-    worst = np.quantile(room2, 0.95) if room2 else 0
+    worst = np.quantile(room2, 0.9) if room2 else 0
     for b, r in zip(bins2, room2):
         twice = any(placed[it] for it in b)
-        if twice or r > worst or r > 0 and rng.random() < 0.05:  # a few others are opened, as mutation
+        if twice or r > worst or r > 0 and rng.random() < 0.1:  # a few others are opened, as mutation
             displaced.extend(it for it in b if not placed[it])
         else:
             bins.append(list(b))
             room.append(r)
-    displaced.sort(key=sizes.__getitem__, reverse=True)
-    best_fit(displaced, sizes, bins, room, capacity)
+    best_fit(exchange(displaced, sizes, bins, room), sizes, bins, room, capacity)
     return bins, room
 
 
@@ -89,7 +134,7 @@ def evolve(sizes: list[int], capacity: int, seeds: list, seed: int, population:
     """The best solution found: (containers as lists of item numbers, room left in each). Ends as soon as no solution can
     have fewer containers."""
     rng = np.random.default_rng(seed)
-    least = max(1, -(-sum(sizes) // capacity)) if sizes else 0
+    least = max(1, fewest(sizes, capacity)) if sizes else 0
     people = [(s, _fitness(s[1], capacity)) for s in seeds]
     order = np.argsort(-np.array(sizes, float), kind="stable").tolist()
     while len(people) < population and not any(f[0] == -least for _, f in people):
@@ -112,7 +157,7 @@ def evolve(sizes: list[int], capacity: int, seeds: list, seed: int, population:
     return max(people, key=lambda p: p[1])[0]
 
 
-_ROW = "capacity_id int, capacity int, shard int, island int, doc_id {kind}, piece int, size int, bin int"
+_ROW = "capacity_id int, capacity int, shard int, island int, doc_id {kind}, piece int, size int, members array<struct<doc_id: {kind}, piece: int, size: int>>, bin int"
 
 
 def _island(first: bool):
@@ -132,11 +177,44 @@ def _island(first: bool):
         of = np.empty(len(sizes), np.int32)
         for b, items in enumerate(bins):
             of[items] = b
-        return pd.DataFrame({"capacity_id": mine["capacity_id"].to_numpy(), "capacity": capacity, "shard": shard, "island": island, "doc_id": mine["doc_id"].to_numpy(), "piece": mine["piece"].to_numpy(), "size": mine["size"].to_numpy(), "bin": of})
+        return pd.DataFrame({"capacity_id": mine["capacity_id"].to_numpy(), "capacity": capacity, "shard": shard, "island": island, "doc_id": mine["doc_id"].to_numpy(), "piece": mine["piece"].to_numpy(), "size": mine["size"].to_numpy(), "members": mine["members"].to_numpy(), "bin": of})
 
     return run
 
 
+def bundled(loose: DataFrame) -> DataFrame:
+    """(capacity_id, capacity, doc_id, piece, size, members): pieces, and bundles of small ones under the id of their first member. Buckets
+    and bundles are bounded, so that none meets whole in a task."""
+    small = F.col("size") * SMALL < F.col("capacity")
+    counted = loose.where(small).groupBy("capacity_id").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("buckets"))
+    few = loose.where(small).join(counted, "capacity_id").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets")).cast("int"))
+    # the running size of a bucket, every member with a little weight of its own, cut at equal steps
+    ahead = F.sum(F.col("size") + F.col("capacity") / (SMALL * MEMBERS)).over(Window.partitionBy("capacity_id", "bucket").orderBy("doc_id", "piece"))
+    few = few.withColumn("bundle", F.floor(ahead * SMALL / F.col("capacity")).cast("int"))
+    made = few.groupBy("capacity_id", "capacity", "bucket", "bundle").agg(F.sort_array(F.collect_list(F.struct("doc_id", "piece", "size"))).alias("members"), F.sum("size").cast("int").alias("size"))
+    made = made.select("capacity_id", "capacity", F.col("members")[0]["doc_id"].alias("doc_id"), F.col("members")[0]["piece"].alias("piece"), "size", "members")
+    return loose.where(~small).withColumn("members", F.lit(None).cast(made.schema["members"].dataType)).unionByName(made)
+
+
+def solved(items: DataFrame, kind: str) -> DataFrame:
+    """The items with `shard` and `bin` of the best solution found for their shard, and the room left in the bin."""
+    totals = items.groupBy("capacity_id").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("size").cast("long")) / (F.first("capacity").cast("long") * SHARD_CONTAINERS)), F.ceil(F.count("*") / SHARD_ITEMS)).cast("int").alias("shards"))
+    dealt = items.join(totals, "capacity_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.col("shards")).cast("int")).drop("shards")
+    row = _ROW.format(kind=kind)
+    key = ["capacity_id", "shard", "island"]
+    now = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).groupBy(*key).applyInPandas(_island(True), row)
+    for _ in range(EPOCHS - 1):
+        now = cut(now)
+        moved = now.withColumn("origin", F.lit(0)).unionByName(now.withColumn("origin", F.lit(1)).withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS))))
+        now = moved.groupBy(*key).applyInPandas(_island(False), row)
+    now = cut(now)
+    bins = now.groupBy(*key, "bin").agg(F.sum("size").alias("filled"), F.first("capacity").alias("capacity"))
+    best = bins.groupBy(*key).agg((-F.count("*")).alias("few"), F.sum((F.col("filled") / F.col("capacity")) ** 2).alias("fit"))
+    won = best.groupBy("capacity_id", "shard").agg(F.max_by("island", F.struct("few", "fit", "island")).alias("island"))
+    kept = now.join(won, key, "left_semi")
+    return kept.join(bins.select(*key, "bin", "filled"), [*key, "bin"]).withColumn("room", F.col("capacity") - F.col("filled")).drop("island", "filled")
+
+
 def packed(sizes: DataFrame, capacities: DataFrame, doc_id: str = "doc_id", n_tokens: str = "n_tokens") -> DataFrame:
     """(capacity_id, container_id, doc_id, piece, start_token, n_tokens): a container for every document under every
     capacity. Only a document larger than the capacity is divided: into full containers and a rest.
@@ -157,23 +235,15 @@ def packed(sizes: DataFrame, capacities: DataFrame, doc_id: str = "doc_id", n_to
     tried = docs.select("doc_id", "n", F.inline(each))
     pieces = tried.select("capacity_id", "capacity", "doc_id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / F.col("capacity")) - 1, F.lit(0)).cast("int"))).alias("piece"))
     pieces = pieces.withColumn("size", F.least(F.col("capacity"), F.col("n") - F.col("piece").cast("long") * F.col("capacity")).cast("int")).drop("n")
-    full = pieces.where("size = capacity").select("capacity_id", F.concat_ws("-", "capacity_id", F.lit("full"), "doc_id", "piece").alias("container_id"), "doc_id", "piece", (F.col("piece").cast("long") * F.col("capacity")).alias("start_token"), F.col("size").alias("n_tokens"))
-    loose = pieces.where("size < capacity")
-    totals = loose.groupBy("capacity_id").agg(F.greatest(F.lit(1), F.least(F.ceil(F.sum("size") / (F.first("capacity") * SHARD_CONTAINERS)), F.ceil(F.count("*") / SHARD_ITEMS))).cast("int").alias("shards"))
-    dealt = loose.join(totals, "capacity_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.col("shards")).cast("int")).drop("shards")
-    row = _ROW.format(kind=kind)
-    key = ["capacity_id", "shard", "island"]
-    now = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).groupBy(*key).applyInPandas(_island(True), row)
-    for _ in range(EPOCHS - 1):
-        now = cut(now)
-        moved = now.withColumn("origin", F.lit(0)).unionByName(now.withColumn("origin", F.lit(1)).withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS))))
-        now = moved.groupBy(*key).applyInPandas(_island(False), row)
-    now = cut(now)
-    bins = now.groupBy(*key, "bin").agg(F.sum("size").alias("filled"), F.first("capacity").alias("capacity"))
-    best = bins.groupBy(*key).agg((-F.count("*")).alias("few"), F.sum((F.col("filled") / F.col("capacity")) ** 2).alias("fit"))
-    won = best.groupBy("capacity_id", "shard").agg(F.max_by("island", F.struct("few", "fit", "island")).alias("island"))
-    kept = now.join(won, key, "left_semi")
-    return kept.select("capacity_id", F.concat_ws("-", "capacity_id", "shard", "bin").alias("container_id"), "doc_id", "piece", (F.col("piece").cast("long") * F.col("capacity")).alias("start_token"), F.col("size").alias("n_tokens")).unionByName(full)
+    full = pieces.where("size = capacity").select("capacity_id", "capacity", F.concat_ws("-", "capacity_id", F.lit("full"), "doc_id", "piece").alias("container_id"), "doc_id", "piece", "size")
+    once = solved(bundled(pieces.where("size < capacity")), kind)
+    open_ = F.col("room") > OPEN * F.col("capacity")
+    again = solved(once.where(open_).select("capacity_id", "capacity", "doc_id", "piece", "size", "members"), kind)
+    name = lambda mark: F.concat_ws("-", "capacity_id", *mark, "shard", "bin").alias("container_id")
+    rows = once.where(~open_).select("*", name([])).unionByName(again.select("*", name([F.lit("again")])))
+    alone = F.array(F.struct("doc_id", "piece", "size"))
+    each_one = rows.select("capacity_id", "capacity", "container_id", F.inline(F.coalesce("members", alone)))
+    return each_one.unionByName(full).select("capacity_id", "container_id", "doc_id", "piece", (F.col("piece").cast("long") * F.col("capacity")).alias("start_token"), F.col("size").alias("n_tokens"))
 
 
 def fill_report(assigned: DataFrame, capacities: DataFrame) -> DataFrame:

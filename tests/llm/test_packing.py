@@ -17,9 +17,29 @@ def test_best_fit_and_evolve():
     assert packing.evolve([], 10, [], 1) == ([], [])
 
 
-@pytest.mark.parametrize("shard", [400, 5])
-def test_packed(spark, monkeypatch, shard):
+def test_better_than_best_fit():
+    """On shards where best fit leaves containers to save, crossovers and exchanges save some; the bound holds."""
+    saved = 0
+    for seed in range(6):
+        rng = random.Random(seed)
+        sizes = [int(min(1020, max(1, rng.lognormvariate(5.5, 0.9)))) for _ in range(900)]
+        bins, _ = packing.evolve(sizes, 1024, [], seed, generations=40)
+        greedy, left = [], []
+        packing.best_fit(sorted(range(900), key=lambda i: -sizes[i]), sizes, greedy, left, 1024)
+        assert packing.fewest(sizes, 1024) <= len(bins) <= len(greedy)
+        saved += len(greedy) - len(bins)
+    assert saved > 0
+
+
+def test_fewest():
+    assert packing.fewest([], 10) == 0 and packing.fewest([6, 6, 6], 10) == 3 and packing.fewest([6, 6, 5, 5], 10) == 3 and packing.fewest([4, 6, 4, 6], 10) == 2 and packing.fewest([7, 7, 4], 10) == 3
+
+
+@pytest.mark.parametrize(("shard", "small"), [(400, 16), (5, 16), (5, 2)])
+def test_packed(spark, monkeypatch, shard, small):
     monkeypatch.setattr(packing, "SHARD_CONTAINERS", shard)
+    monkeypatch.setattr(packing, "SMALL", small)
+    monkeypatch.setattr(packing, "BUCKET", 40)
     rng = random.Random(4)
     docs = [(k, rng.choice([0, 5, 9, 60, 100, 130, 1000])) for k in range(400)] + [(400, None), (None, 7), (3, None)]
     docs += docs[:5]
