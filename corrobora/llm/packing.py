@@ -14,6 +14,7 @@ item, so that a shard of so many items still fills many containers.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from ..tables import cut
 
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3, 3, 4, 16
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3, 3, 4, 8
+#: Islands to a task, once there are enough for all cores.
+TASK_ISLANDS = 16
 #: A shard holds about so many containers and items at most.
 SHARD_CONTAINERS, SHARD_ITEMS = 800, 4000
 #: Texts of less than this share of a container are bundled, at most MEMBERS to a bundle; so many lie in a bucket.
@@ -137,7 +140,7 @@ def evolve(sizes: list[int], capacity: int, seeds: list, seed: int, population:
     least = max(1, fewest(sizes, capacity)) if sizes else 0
     people = [(s, _fitness(s[1], capacity)) for s in seeds]
     order = np.argsort(-np.array(sizes, float), kind="stable").tolist()
-    while len(people) < population and not any(f[0] == -least for _, f in people):
+    while len(people) < (len(seeds) or population) and not any(f[0] == -least for _, f in people):
         bins: list[list[int]] = []
         room: list[int] = []
         best_fit(order, sizes, bins, room, capacity)
@@ -157,29 +160,25 @@ def evolve(sizes: list[int], capacity: int, seeds: list, seed: int, population:
     return max(people, key=lambda p: p[1])[0]
 
 
-_ROW = "capacity_id int, capacity int, shard int, island int, doc_id {kind}, piece int, size int, members array<struct<doc_id: {kind}, piece: int, size: int>>, bin int"
-
-
-def _island(first: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        capacity, shard, island = (int(pdf[c].iloc[0]) for c in ("capacity", "shard", "island"))
-        pdf = pdf.sort_values(["origin", "doc_id", "piece"] if not first else ["doc_id", "piece"], kind="stable")
-        mine = pdf if first else pdf[pdf["origin"] == pdf["origin"].iloc[0]]
-        sizes = mine["size"].tolist()
-        seeds = []
-        if not first:
-            for _, part in pdf.groupby("origin"):
-                bins: list[list[int]] = [[] for _ in range(int(part["bin"].max()) + 1)]
-                for it, b in enumerate(part["bin"].tolist()):
-                    bins[b].append(it)
+def run_islands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row is one island of a shard: its sizes and, after the first epoch, the assignments it starts from. Document
+    ids and members stay outside."""
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples(index=False):
+            sizes, capacity, seeds = row.sizes.tolist(), int(row.capacity), []
+            for of in row.seeds:
+                bins: list[list[int]] = [[] for _ in range(int(of.max()) + 1)]
+                for item, b in enumerate(of.tolist()):
+                    bins[b].append(item)
                 seeds.append((bins, [capacity - sum(sizes[i] for i in b) for b in bins]))
-        bins, _ = evolve(sizes, capacity, seeds, shard * 1009 + island * 31 + (0 if first else 7))
-        of = np.empty(len(sizes), np.int32)
-        for b, items in enumerate(bins):
-            of[items] = b
-        return pd.DataFrame({"capacity_id": mine["capacity_id"].to_numpy(), "capacity": capacity, "shard": shard, "island": island, "doc_id": mine["doc_id"].to_numpy(), "piece": mine["piece"].to_numpy(), "size": mine["size"].to_numpy(), "members": mine["members"].to_numpy(), "bin": of})
-
-    return run
+            bins, room = evolve(sizes, capacity, seeds, row.shard * 1009 + row.island * 31 + len(seeds))
+            of, left = np.empty(len(sizes), np.int32), np.empty(len(sizes), np.int32)
+            for b, items in enumerate(bins):
+                of[items], left[items] = b, room[b]
+            few, fit = _fitness(room, capacity)
+            out.append((row.capacity_id, row.capacity, row.shard, row.island, of, left, few, fit, len(bins) == fewest(sizes, capacity)))
+        yield pd.DataFrame(out, columns=["capacity_id", "capacity", "shard", "island", "bins", "rooms", "few", "fit", "done"])
 
 
 def bundled(loose: DataFrame) -> DataFrame:
@@ -196,23 +195,30 @@ def bundled(loose: DataFrame) -> DataFrame:
     return loose.where(~small).withColumn("members", F.lit(None).cast(made.schema["members"].dataType)).unionByName(made)
 
 
-def solved(items: DataFrame, kind: str) -> DataFrame:
-    """The items with `shard` and `bin` of the best solution found for their shard, and the room left in the bin."""
-    totals = items.groupBy("capacity_id").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("size").cast("long")) / (F.first("capacity").cast("long") * SHARD_CONTAINERS)), F.ceil(F.count("*") / SHARD_ITEMS)).cast("int").alias("shards"))
-    dealt = items.join(totals, "capacity_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.col("shards")).cast("int")).drop("shards")
-    row = _ROW.format(kind=kind)
-    key = ["capacity_id", "shard", "island"]
-    now = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).groupBy(*key).applyInPandas(_island(True), row)
+def solved(items: DataFrame) -> DataFrame:
+    """The items with `shard`, `bin` and the `room` left in the bin, of the best solution found for their shard. A shard
+    whose fewest possible containers are reached takes no part in further epochs."""
+    totals = items.groupBy("capacity_id", "capacity").agg(F.sum(F.col("size").cast("long")).alias("t"), F.count("*").alias("n")).collect()  # a row per capacity
+    shards = {r.capacity_id: max(1, -(-r.t // (r.capacity * SHARD_CONTAINERS)), -(-r.n // SHARD_ITEMS)) for r in totals}
+    count = F.create_map(*[F.lit(x) for pair in (shards or {0: 1}).items() for x in pair])[F.col("capacity_id")]
+    one = F.struct("doc_id", "piece", "size", "members")
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), count).cast("int"))
+    held = cut(dealt.groupBy("capacity_id", "capacity", "shard").agg(F.sort_array(F.collect_list(one)).alias("items")))
+    islands = sum(shards.values()) * ISLANDS
+    tasks = max(1, min(islands, max(items.sparkSession.sparkContext.defaultParallelism, islands // TASK_ISLANDS)))
+    run = lambda df: cut(df.repartition(tasks).mapInPandas(run_islands, "capacity_id int, capacity int, shard int, island int, bins array<int>, rooms array<int>, few int, fit double, done boolean"))
+    sizes = held.select("capacity_id", "capacity", "shard", F.transform("items", lambda x: x["size"]).alias("sizes"))
+    every = sizes.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+    now = run(every.withColumn("seeds", F.array().cast("array<array<int>>")))
+    found = now
     for _ in range(EPOCHS - 1):
-        now = cut(now)
-        moved = now.withColumn("origin", F.lit(0)).unionByName(now.withColumn("origin", F.lit(1)).withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS))))
-        now = moved.groupBy(*key).applyInPandas(_island(False), row)
-    now = cut(now)
-    bins = now.groupBy(*key, "bin").agg(F.sum("size").alias("filled"), F.first("capacity").alias("capacity"))
-    best = bins.groupBy(*key).agg((-F.count("*")).alias("few"), F.sum((F.col("filled") / F.col("capacity")) ** 2).alias("fit"))
-    won = best.groupBy("capacity_id", "shard").agg(F.max_by("island", F.struct("few", "fit", "island")).alias("island"))
-    kept = now.join(won, key, "left_semi")
-    return kept.join(bins.select(*key, "bin", "filled"), [*key, "bin"]).withColumn("room", F.col("capacity") - F.col("filled")).drop("island", "filled")
+        open_ = now.groupBy("capacity_id", "shard").agg(F.bool_or("done").alias("done"), F.map_from_entries(F.collect_list(F.struct("island", "bins"))).alias("by")).where("not done").drop("done")
+        mine = F.array(F.col("by")[F.col("island")], F.col("by")[F.pmod(F.col("island") + 1, F.lit(ISLANDS))])  # own best and the neighbour's
+        now = run(every.join(open_, ["capacity_id", "shard"]).withColumn("seeds", mine).drop("by"))
+        found = found.unionByName(now)
+    best = found.groupBy("capacity_id", "shard").agg(F.max_by(F.struct("bins", "rooms"), F.struct("few", "fit", "island")).alias("b"))
+    zipped = F.zip_with("items", F.zip_with("b.bins", "b.rooms", lambda b, r: F.struct(b.alias("bin"), r.alias("room"))), lambda x, y: F.struct(x["doc_id"].alias("doc_id"), x["piece"].alias("piece"), x["size"].alias("size"), x["members"].alias("members"), y["bin"].alias("bin"), y["room"].alias("room")))
+    return held.join(best, ["capacity_id", "shard"]).select("capacity_id", "capacity", "shard", F.inline(zipped))
 
 
 def packed(sizes: DataFrame, capacities: DataFrame, doc_id: str = "doc_id", n_tokens: str = "n_tokens") -> DataFrame:
@@ -224,7 +230,6 @@ def packed(sizes: DataFrame, capacities: DataFrame, doc_id: str = "doc_id", n_to
     of size 0; a repeated document is taken once. No container is ever overfull.
     """
     docs = cut(sizes.select(F.col(doc_id).alias("doc_id"), F.col(n_tokens).cast("long").alias("n")).where("doc_id is not null and n is not null").distinct())
-    kind = docs.schema["doc_id"].dataType.simpleString()
     caps = capacities.select(F.col("capacity_id").cast("int").alias("capacity_id"), F.col("capacity_tokens").cast("int").alias("capacity")).where("capacity >= 1 and capacity_id is not null").distinct()
     listed = [(r.capacity_id, r.capacity) for r in caps.limit(MOST_CAPACITIES + 1).collect()]
     if len(listed) > MOST_CAPACITIES:
@@ -236,9 +241,9 @@ def packed(sizes: DataFrame, capacities: DataFrame, doc_id: str = "doc_id", n_to
     pieces = tried.select("capacity_id", "capacity", "doc_id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / F.col("capacity")) - 1, F.lit(0)).cast("int"))).alias("piece"))
     pieces = pieces.withColumn("size", F.least(F.col("capacity"), F.col("n") - F.col("piece").cast("long") * F.col("capacity")).cast("int")).drop("n")
     full = pieces.where("size = capacity").select("capacity_id", "capacity", F.concat_ws("-", "capacity_id", F.lit("full"), "doc_id", "piece").alias("container_id"), "doc_id", "piece", "size")
-    once = solved(bundled(pieces.where("size < capacity")), kind)
+    once = cut(solved(bundled(pieces.where("size < capacity"))))
     open_ = F.col("room") > OPEN * F.col("capacity")
-    again = solved(once.where(open_).select("capacity_id", "capacity", "doc_id", "piece", "size", "members"), kind)
+    again = solved(once.where(open_).select("capacity_id", "capacity", "doc_id", "piece", "size", "members"))
     name = lambda mark: F.concat_ws("-", "capacity_id", *mark, "shard", "bin").alias("container_id")
     rows = once.where(~open_).select("*", name([])).unionByName(again.select("*", name([F.lit("again")])))
     alone = F.array(F.struct("doc_id", "piece", "size"))
