@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import HGVS, label_key, same_value
+from ..tables import cut
 from . import hierarchy
 
 
@@ -28,7 +29,8 @@ def term_checks(claims: DataFrame, terms: DataFrame, prefix: str, root: str | No
     df = claims.join(names, claims["term_id"] == names["_id"], "left")
     under = F.lit(True)
     if root is not None:
-        inside = hierarchy.descendants(terms).where(F.col("ancestor") == root).select(F.col("descendant").alias("_under")).distinct()
+        _, edges = hierarchy.term_edges(terms)
+        inside = hierarchy.under(terms.where(F.col("id") == root).select(F.col("id").alias("node")).distinct(), cut(edges)).select(F.col("node").alias("_under"))
         df = df.join(inside, df["term_id"] == inside["_under"], "left")
         under = F.col("_under").isNotNull()
     known = F.exists(F.col("_names"), lambda n: label_key(n) == label_key(F.col("label")))
@@ -90,7 +92,8 @@ def row_checks(claims: DataFrame, rows: DataFrame, columns: list[str]) -> DataFr
 def outcome_class(answers: DataFrame, terms: DataFrame) -> DataFrame:
     """Adds `outcome` to answers (truth, answer): 'invalid', 'exact', 'coarser', 'finer' or 'wrong' by the hierarchy."""
     good = terms.where("not coalesce(obsolete, false)").select(F.col("id").alias("_id")).distinct()
-    pairs = hierarchy.descendants(terms).select(F.col("ancestor").alias("_up"), F.col("descendant").alias("_down"))
+    asked = answers.select(F.explode(F.array("answer", "truth")).alias("node")).where("node is not null").distinct()
+    pairs = cut(hierarchy.ancestors(asked, hierarchy.term_edges(terms)[1]).select(F.col("above").alias("_up"), F.col("node").alias("_down")))
     df = answers.join(good, F.col("answer") == F.col("_id"), "left")
     up = pairs.select(F.col("_up").alias("_u1"), F.col("_down").alias("_d1"))
     df = df.join(up, (F.col("answer") == F.col("_u1")) & (F.col("truth") == F.col("_d1")), "left").join(pairs, (F.col("truth") == F.col("_up")) & (F.col("answer") == F.col("_down")), "left")
@@ -100,7 +103,8 @@ def outcome_class(answers: DataFrame, terms: DataFrame) -> DataFrame:
 
 def declared_disjoint(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     """The (a, b) pairs of which some ancestors are declared disjoint, in either direction."""
-    up = hierarchy.descendants(terms).select(F.col("descendant").alias("n"), F.col("ancestor").alias("up"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
+    up = cut(hierarchy.ancestors(asked, hierarchy.term_edges(terms)[1]).select(F.col("node").alias("n"), F.col("above").alias("up")))
     said = terms.select(F.col("id").alias("x"), F.explode("disjoint").alias("y")).where("y is not null").distinct()
     both = said.unionByName(said.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     a = pairs.select("a", "b").distinct().join(up.withColumnsRenamed({"n": "a", "up": "x"}), "a").join(both, "x").select("a", "b", "y")

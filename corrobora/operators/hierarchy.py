@@ -1,27 +1,29 @@
-"""Parent-child rows to full hierarchies, by peeling leaves from the bottom and assigning from the top in reverse order.
-
-Round r takes away the nodes that have no children left; they form layer r. What can't be peeled lies on a cycle or
-above one. Every parent of a node is in a later layer or in the rest, so that going back over the layers each node takes
-over what its parents have, once. Rounds run as joins while many edges are left. As soon as the edges left are counted
-to be at most `local_edges`, one task peels and solves that rest: it holds all its own ancestors, so nothing else is
-needed for it. A rest that stays larger is solved by joins alone. Either way the result is the same.
-
-Descendants are kept as rows, not as lists sent to the parent: the list of a root that holds a third of all nodes
-would not fit into a task.
+"""Parent-child rows to full hierarchies, by peeling leaves from below and assigning from above in reverse order.
+
+A round takes away the nodes that have no children left. Every third round also shortens chains (runs of nodes with one
+parent each, whose parents have no other child left): the nodes inside a run leave at once, and its lowest node hangs
+directly on its highest, so many steps below; pointers that double their reach find both. Leaves and chains together
+halve any tree in a few rounds, however deep it is. What neither takes away lies on a cycle or above one; runs that
+close on themselves come out as cycles at once.
+
+Going up the rounds, each node sends its list of descendants, itself among them, to its parents and to the nodes inside
+the runs it hangs on; what has come to a node by its round is complete. Going back down, each node takes over the
+roots of its parents, once. Lists travel as rows, as that of a root with a third of all nodes would not fit into a task,
+and as pairs of which only the fewest steps are kept. Nothing is solved in one task, and no plan depends on sizes.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import cut
 
-LOCAL_EDGES = 20_000
+#: Chains are shortened every so many rounds; between, leaves are taken alone, which is cheaper.
+SHORTEN = 3
 
 
 def term_key(term: Column) -> Column:
@@ -40,99 +42,95 @@ def term_edges(terms: DataFrame, id_col: str = "id", parents_col: str = "parents
     return nodes, wanted.join(named, "key").select("child", "parent").distinct()
 
 
-def _solve(children: dict[str, list[str]], parents: dict[str, list[str]], origins: str) -> Iterator[tuple[str, str | None, int, str]]:
-    """(node, origin, steps, path) of a graph held in memory; origin null marks a node of a cycle. origins: 'roots' or
-    'all'; paths only for roots."""
-    left = {n: len(children[n]) for n in parents}
-    above = {n: len(parents[n]) for n in parents}
-    for count, back in ((left, parents), (above, children)):  # peeling from below, then from above: cycles and what joins them stay
-        todo = [n for n, k in count.items() if k == 0]
-        while todo:
-            for m in back[todo.pop()]:
-                count[m] -= 1
-                if count[m] == 0:
-                    todo.append(m)
-    rest = {n for n in parents if left[n] > 0 and above[n] > 0}
-    order: list[str] = []
-    seen: set[str] = set()
-    for start in rest:  # strongly connected parts: by finishing order, then against the edges
-        stack = [(start, iter(parents[start]))] if start not in seen else []
-        seen.add(start)
-        while stack:
-            n, it = stack[-1]
-            m = next((x for x in it if x in rest and x not in seen), None)
-            if m is None:
-                order.append(n)
-                stack.pop()
-            else:
-                seen.add(m)
-                stack.append((m, iter(parents[m])))
-    done: set[str] = set()
-    for start in reversed(order):
-        part, todo = [], [start] if start not in done else []
-        done.add(start)
-        while todo:
-            n = todo.pop()
-            part.append(n)
-            new = [m for m in children[n] if m in rest and m not in done]
-            done.update(new)
-            todo.extend(new)
-        if len(part) > 1 or part and part[0] in children[part[0]]:
-            for n in part:
-                yield n, None, -1, ""
-    for origin in parents:
-        if origins == "roots" and parents[origin]:
+@dataclass
+class Round:
+    """Nodes that leave (child) with the nodes they hang on (parent) so many steps above; `inner`: (child, parent, node,
+    at) nodes left out between, `at` steps below the parent. In a round of chains `inner` holds whole chains by parent."""
+
+    ups: DataFrame
+    inner: DataFrame | None
+    chains: bool = False
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _shorten(live: DataFrame, inner: DataFrame | None):
+    """Takes the nodes inside chains out of the live edges (child, parent, steps): (live, inner, the round, nodes of runs
+    that close on themselves), or None where there are none."""
+    single = live.groupBy("child").agg(F.count("*").alias("n"), F.first("parent").alias("parent"), F.first("steps").alias("steps")).where("n = 1").drop("n")
+    lone = live.groupBy("parent").agg(F.count("*").alias("n")).where("n = 1").select("parent")
+    chain = cut(single.join(lone, "parent").select("child", "parent", "steps"))
+    below = chain.select(F.col("parent").alias("child"))
+    if chain.join(below, "child", "left_semi").isEmpty():
+        return None
+    ends = cut(chain.select("child", F.col("parent").alias("top"), "steps"))
+    members, left = chain.select(F.col("child").alias("top")), None
+    while True:  # pointers twice as long each time; those of open runs end, those of closed ones go round
+        hop = ends.select(F.col("child").alias("top"), F.col("top").alias("top2"), F.col("steps").alias("steps2"))
+        ends = cut(ends.join(hop, "top", "left").select("child", F.coalesce("top2", "top").alias("top"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")))
+        now = ends.join(members, "top", "left_semi").count()
+        if now == 0 or now == left:
+            break
+        left = now
+    closed = ends.join(members, "top", "left_semi").select("child")
+    done = ends.join(members, "top", "left_anti") if now else ends
+    inside = cut(done.join(below, "child", "left_semi").select("child", F.col("top").alias("parent"), "steps"))
+    lowest = done.join(below, "child", "left_anti").select("child", F.col("top").alias("parent"), "steps")
+    new = cut(live.join(chain.select("child"), "child", "left_anti").select("child", "parent", "steps").unionByName(lowest))
+    spans = inside.withColumnRenamed("child", "node").join(lowest.select("child", "parent"), "parent").select("child", "parent", "node", F.col("steps").alias("at"))
+    loops = closed.select(F.col("child").alias("node"))
+    if inner is not None:  # nodes left out before get the new ends of their edge
+        moved = inner.drop("parent").join(done.select("child", "top", F.col("steps").alias("far")), "child").join(chain.select("child", F.col("steps").alias("own")), "child")
+        moved = moved.select("node", F.col("top").alias("parent"), (F.col("at") + F.col("far") - F.col("own")).alias("at"))
+        spans = spans.unionByName(moved.join(lowest.select("child", "parent"), "parent").select("child", "parent", "node", "at"))
+        loops = loops.unionByName(inner.join(closed, "child", "left_semi").select("node"))
+    spans = cut(spans)
+    kept = spans if inner is None else spans.unionByName(inner.join(chain.select("child"), "child", "left_anti"))
+    return new, cut(kept), Round(inside, spans, True), cut(loops) if now else None
+
+
+def peel(edges: DataFrame) -> tuple[list[Round], DataFrame | None, DataFrame | None]:
+    """(rounds in the order in which nodes leave, nodes that lie on cycles or above, nodes of cycles found as closed runs) of edges
+    (child, parent). Nodes without parents leave with their last child and are in no round."""
+    live = cut(edges.select("child", "parent", F.lit(1).cast("long").alias("steps")))
+    rounds: list[Round] = []
+    inner, loops, turn = None, [], 0
+    while True:
+        turn += 1
+        marked = cut(live.join(live.select(F.col("parent").alias("child"), F.lit(True).alias("above")).distinct(), "child", "left"))
+        counted = {r["above"]: r["n"] for r in marked.groupBy("above").agg(F.count("*").alias("n")).collect()}
+        live = marked.where("above").drop("above")
+        if None in counted:
+            leaves = marked.where("above is null").drop("above")
+            rounds.append(Round(leaves, None if inner is None else inner.join(leaves.select("child").distinct(), "child", "left_semi")))
+            inner = None if inner is None else inner.join(leaves.select("child").distinct(), "child", "left_anti")
+        if True not in counted:
+            return rounds, None, _all(loops) if loops else None
+        if None in counted and turn % SHORTEN:
             continue
-        reached, front, steps = {origin}, {origin: origin if origins == "roots" else ""}, 0
-        while front:
-            ahead: dict[str, str] = {}
-            for n, path in front.items():
-                yield n, origin, steps, path
-                for m in children[n]:
-                    if m not in reached:
-                        way = f"{path}>{m}" if path else ""
-                        ahead[m] = min(ahead.get(m, way), way)
-            front = ahead
-            reached.update(front)
-            steps += 1
-
-
-def _solve_local(edges: DataFrame, nodes: DataFrame, origins: str) -> DataFrame:
-    """Of a counted, bounded rest: one task."""
-    both = edges.select("child", "parent").unionByName(nodes.select(F.col("node").alias("child"), F.lit(None).cast("string").alias("parent"))).coalesce(1)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        children, parents = defaultdict(list), {}
-        for pdf in batches:
-            for c, p in zip(pdf["child"], pdf["parent"]):
-                mine = parents.setdefault(c, [])
-                if p is not None:
-                    parents.setdefault(p, [])
-                    mine.append(p)
-                    children[p].append(c)
-        out = []
-        for row in _solve(children, parents, origins):
-            out.append(row)
-            if len(out) == 50_000:
-                yield pd.DataFrame(out, columns=["node", "origin", "steps", "path"])
-                out = []
-        yield pd.DataFrame(out, columns=["node", "origin", "steps", "path"])
-
-    return both.mapInPandas(run, "node string, origin string, steps int, path string")
-
-
-def _longer(path: Column, node: Column) -> Column:
-    return F.when(path != "", F.concat(path, F.lit(">"), node)).otherwise("")
+        shorter = _shorten(live, inner)
+        if shorter is not None:
+            live, inner, chains, closed = shorter
+            rounds.append(chains)
+            if closed is not None:
+                loops.append(closed)
+        elif None not in counted:
+            nodes = live.select(F.explode(F.array("child", "parent")).alias("node"))
+            rest = nodes if inner is None else nodes.unionByName(inner.select("node"))
+            return rounds, cut(rest.distinct()), _all(loops) if loops else None
 
 
 def _grow(start: DataFrame, edges: DataFrame) -> DataFrame:
-    """Fewest steps from each origin to every node reached, by rounds of joins; (node, origin, steps, path)."""
+    """(node, origin, steps): fewest steps from each origin to every node reached over edges, a round a step. Serves the
+    nodes on cycles and above them only."""
     found = front = cut(start)
     step = 0
     while not front.isEmpty():
         step += 1
-        reached = front.join(edges.withColumnRenamed("parent", "node"), "node").groupBy(F.col("child").alias("node"), "origin").agg(F.min(_longer(F.col("path"), F.col("child"))).alias("path"))
-        front = cut(reached.join(found.select("node", "origin"), ["node", "origin"], "left_anti").select("node", "origin", F.lit(step).alias("steps"), "path"))
+        reached = front.join(edges.withColumnRenamed("parent", "node"), "node").select(F.col("child").alias("node"), "origin").distinct()
+        front = cut(reached.join(found.select("node", "origin"), ["node", "origin"], "left_anti").select("node", "origin", F.lit(step).cast("long").alias("steps")))
         found = found.unionByName(front)
         if step % 8 == 0:
             found = cut(found)
@@ -174,74 +172,113 @@ def _cyclic(edges: DataFrame) -> DataFrame:
     return loops.distinct()
 
 
-def reach(nodes: DataFrame, edges: DataFrame, origins: str = "roots", local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, DataFrame]:
-    """(node, origin, steps, path): for each node every root (origins='roots') or every ancestor and itself ('all') it reaches
-    over its parents, with the fewest steps and, for roots, the first
-    path of that length; and (node): the nodes that are their own ancestors.
+def _tangle(edges: DataFrame, rest: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """(edges between nodes on cycles or above, those of them on cycles)."""
+    if rest is None:
+        return None, None
+    mine = cut(edges.join(rest.withColumnRenamed("node", "child"), "child", "left_semi").select("child", "parent"))
+    return mine, cut(_cyclic(mine))
+
+
+def roots(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, origin, steps): each root a node reaches over its parents, with the fewest steps, a root itself with 0; and
+    (node): the nodes that are their own ancestors. `nodes`: (id), `edges`: (child, parent), both without repeats.
 
     Empty tables give empty results; a node without parents is its own root; self-parents are cycles."""
-    start = ["node", F.col("node").alias("origin"), F.lit(0).alias("steps"), (F.col("node") if origins == "roots" else F.lit("")).alias("path")]
-    nodes = cut(nodes.select(F.col("id").alias("node")))
-    edges = cut(edges.select("child", "parent"))
-    layers: list[DataFrame] = []
-    below = edges  # edges whose child isn't peeled yet
-    left = nodes
-    while True:
-        n = below.count()
-        if n <= local_edges:
-            break
-        layer = left.join(below.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
-        layer = cut(layer)
-        if layer.isEmpty():
-            break
-        layers.append(layer)
-        left = cut(left.join(layer, "node", "left_anti"))
-        below = cut(below.join(layer.withColumnRenamed("node", "child"), "child", "left_anti"))
-    if n <= local_edges:
-        solved = cut(_solve_local(below, left, origins))
-        cyclic = solved.where("origin is null").select("node")
-        found = solved.where("origin is not null")
-    else:
-        cyclic = _cyclic(below)
-        first = left if origins == "all" else left.join(below.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
-        found = _grow(first.select(*start), below)
-    parts = [found]
-    for layer in reversed(layers):
-        mine = edges.join(layer.withColumnRenamed("node", "child"), "child", "left_semi")
-        taken = mine.join(found.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"), "origin", F.struct((F.col("steps") + 1).alias("steps"), _longer(F.col("path"), F.col("child")).alias("path")).alias("way"))
-        own = layer if origins == "all" else layer.join(mine.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
-        part = cut(taken.groupBy("node", "origin").agg(F.min("way").alias("way")).select("node", "origin", "way.steps", "way.path").unionByName(own.select(*start)))
-        parts.append(part)
-        found = found.unionByName(part)
-    return found, cyclic
-
-
-def standings(terms: DataFrame, id_col: str = "id", parents_col: str = "parents", local_edges: int = LOCAL_EDGES) -> DataFrame:
+    nodes, edges = cut(nodes.select(F.col("id").alias("node"))), cut(edges.select("child", "parent"))
+    rounds, rest, loops = peel(edges)
+    top = nodes.join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_anti").select("node", F.col("node").alias("origin"), F.lit(0).cast("long").alias("steps"))
+    found = [cut(top)]
+    tangle, cyclic = _tangle(edges, rest)
+    if tangle is not None:
+        found.append(_grow(top.join(rest, "node", "left_semi"), tangle).where("steps > 0"))
+    for r in reversed(rounds):
+        ups = r.ups if rest is None or not r.chains else r.ups.join(rest.withColumnRenamed("node", "child"), "child", "left_anti")
+        taken = ups.withColumnRenamed("steps", "more").join(_all(found).withColumnRenamed("node", "parent"), "parent")
+        found.append(cut(taken.groupBy(F.col("child").alias("node"), "origin").agg(F.min(F.col("steps") + F.col("more")).alias("steps"))))
+    on = [x for x in (loops, cyclic) if x is not None]
+    return _all(found), cut(_all(on).distinct()) if on else nodes.limit(0)
+
+
+def closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, below, steps): every node with itself and each of its descendants, with the fewest steps. As large as its
+    result; of a chain of n nodes that is n * n / 2 rows."""
+    nodes, edges = cut(nodes.select(F.col("id").alias("node"))), cut(edges.select("child", "parent"))
+    rounds, rest, loops = peel(edges)
+    if loops is not None:
+        rest = cut(loops.distinct() if rest is None else rest.unionByName(loops).distinct())
+    sent: list[DataFrame] = []
+    for r in rounds:
+        mine = r.ups.select(F.col("child").alias("node")).distinct()
+        lists = mine.select("node", F.col("node").alias("below"), F.lit(0).cast("long").alias("steps"))
+        if sent:
+            lists = lists.unionByName(_all(sent).join(mine, "node", "left_semi").groupBy("node", "below").agg(F.min("steps").alias("steps")))
+        up = r.ups.withColumnRenamed("steps", "far")
+        to = [up.select("child", F.col("parent").alias("to"), "far")]
+        if r.inner is not None:
+            on = ["parent"] if r.chains else ["child", "parent"]
+            spans = r.inner.select(*on, F.col("node").alias("to"), "at")
+            to.append(up.join(spans, on).where("at < far").select("child", "to", (F.col("far") - F.col("at")).alias("far")))
+        sent.append(cut(_all(to).join(lists.withColumnRenamed("node", "child"), "child").groupBy(F.col("to").alias("node"), "below").agg(F.min(F.col("steps") + F.col("far")).alias("steps"))))
+    own = nodes.select("node", F.col("node").alias("below"), F.lit(0).cast("long").alias("steps"))
+    if rest is None:
+        return _all([own, *sent]).groupBy("node", "below").agg(F.min("steps").alias("steps"))
+    # nodes on cycles and above: what came to them goes on to all that reach them
+    tangle = cut(edges.join(rest.withColumnRenamed("node", "child"), "child", "left_semi").select("child", "parent"))
+    inside = _grow(rest.select("node", F.col("node").alias("origin"), F.lit(0).cast("long").alias("steps")), tangle)
+    inside = cut(inside.select(F.col("origin").alias("node"), F.col("node").alias("below"), "steps"))
+    came = _all(sent).join(rest, "node", "left_semi").select(F.col("node").alias("through"), "below", F.col("steps").alias("more")) if sent else None
+    parts = [own, inside]
+    if came is not None:
+        parts.append(_all(sent).join(rest, "node", "left_anti"))
+        parts.append(inside.withColumnRenamed("below", "through").join(came, "through").select("node", "below", (F.col("steps") + F.col("more")).alias("steps")))
+    return _all(parts).groupBy("node", "below").agg(F.min("steps").alias("steps"))
+
+
+def under(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, start, steps): all that lies below the few nodes (start) asked for, themselves included, by a walk down from these."""
+    return _grow(nodes.select("node", F.col("node").alias("origin"), F.lit(0).cast("long").alias("steps")), edges).withColumnRenamed("origin", "start")
+
+
+def ancestors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, above, steps): the nodes asked for with themselves and all their ancestors, by a walk up from these alone."""
+    turned = cut(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")))
+    return _grow(nodes.select("node", F.col("node").alias("origin"), F.lit(0).cast("long").alias("steps")).distinct(), turned).select(F.col("origin").alias("node"), F.col("node").alias("above"), "steps")
+
+
+def standings(terms: DataFrame, id_col: str = "id", parents_col: str = "parents") -> DataFrame:
     """(term_id, standing, root_id, n_steps): 'cycle' for a term that is its own ancestor, else 'rooted' for every root
     it reaches, else 'stray'."""
     nodes, edges = term_edges(terms, id_col, parents_col)
-    found, cyclic = reach(nodes, edges, "roots", local_edges)
-    cyclic = cut(cyclic.distinct())
-    rooted = found.join(cyclic, "node", "left_anti").select(F.col("node").alias("term_id"), F.lit("rooted").alias("standing"), F.col("origin").alias("root_id"), F.col("steps").cast("int").alias("n_steps"))
-    none = lambda df, what: df.select(F.col("id").alias("term_id"), F.lit(what).alias("standing"), F.lit("").alias("root_id"), F.lit(-1).alias("n_steps"))
-    loops = none(cyclic.withColumnRenamed("node", "id"), "cycle")
-    stray = nodes.join(found.select(F.col("node").alias("id")).distinct(), "id", "left_anti").join(cyclic.withColumnRenamed("node", "id"), "id", "left_anti")
-    return rooted.unionByName(loops).unionByName(none(stray, "stray"))
+    found, cyclic = roots(nodes, edges)
+    # one pass: a term's roots, or the one row that says why it has none
+    told = nodes.select(F.col("id").alias("node")).join(cyclic.withColumn("loop", F.lit(True)), "node", "left").join(found, "node", "left")
+    loop, rooted = F.coalesce("loop", F.lit(False)), F.col("origin").isNotNull()
+    standing = F.when(loop, "cycle").when(rooted, "rooted").otherwise("stray")
+    rows = told.select(F.col("node").alias("term_id"), standing.alias("standing"), F.when(~loop & rooted, F.col("origin")).otherwise("").alias("root_id"), F.when(~loop & rooted, F.col("steps")).otherwise(-1).cast("int").alias("n_steps"))
+    once = rows.where("standing = 'cycle'").distinct()
+    return rows.where("standing <> 'cycle'").unionByName(once)
 
 
-def descendants(terms: DataFrame, id_col: str = "id", parents_col: str = "parents", local_edges: int = LOCAL_EDGES) -> DataFrame:
+def descendants(terms: DataFrame, id_col: str = "id", parents_col: str = "parents") -> DataFrame:
     """(ancestor, descendant, n_steps) of every pair, itself included, with the fewest steps."""
-    nodes, edges = term_edges(terms, id_col, parents_col)
-    found, _ = reach(nodes, edges, "all", local_edges)
-    return found.select(F.col("origin").alias("ancestor"), F.col("node").alias("descendant"), F.col("steps").cast("int").alias("n_steps"))
+    return closure(*term_edges(terms, id_col, parents_col)).select(F.col("node").alias("ancestor"), F.col("below").alias("descendant"), F.col("steps").cast("int").alias("n_steps"))
 
 
-def profiles(terms: DataFrame, id_col: str = "id", parents_col: str = "parents", local_edges: int = LOCAL_EDGES) -> DataFrame:
+def profiles(terms: DataFrame, id_col: str = "id", parents_col: str = "parents") -> DataFrame:
     """(term_id, root_id, depth, path, n_descendants) of every term that reaches a root: its nearest root (the first id
-    of these), the steps to it and the first path of that length, root first, joined by '>'; n_descendants leaves out
-    the term itself."""
+    of these), the steps to it and a path of that length, root first, joined by '>', which at every step takes the first
+    id of the parents it may; n_descendants, the size of its subtree, leaves out the term itself."""
     nodes, edges = term_edges(terms, id_col, parents_col)
-    rooted, _ = reach(nodes, edges, "roots", local_edges)
-    best = rooted.groupBy(F.col("node").alias("term_id")).agg(F.min(F.struct(F.col("steps").alias("depth"), F.col("origin").alias("root_id"), "path")).alias("b"))
-    below = descendants(terms, id_col, parents_col, local_edges).where("ancestor <> descendant").groupBy(F.col("ancestor").alias("term_id")).agg(F.count("*").alias("n_descendants"))
-    return best.join(below, "term_id", "left").select("term_id", "b.root_id", "b.depth", "b.path", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
+    nodes, edges = cut(nodes), cut(edges)
+    rooted, _ = roots(nodes, edges)
+    best = cut(rooted.groupBy("node").agg(F.min(F.struct("steps", "origin")).alias("b")).select("node", "b.origin", "b.steps"))
+    above = best.select(F.col("node").alias("parent"), F.col("origin").alias("origin_up"), F.col("steps").alias("steps_up"))
+    step = edges.join(best.withColumnRenamed("node", "child"), "child").join(above, "parent").where("origin = origin_up and steps = steps_up + 1").groupBy("child").agg(F.min("parent").alias("parent"))
+    # pointers twice as long each round, with what they pass written out
+    ways = cut(best.join(step.withColumnRenamed("child", "node"), "node", "left").select("node", F.col("parent").alias("to"), F.col("node").alias("path")))
+    while not ways.where("to is not null").isEmpty():
+        far = ways.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("path").alias("head"))
+        ways = cut(ways.join(far, "to", "left").select("node", F.col("next").alias("to"), F.concat_ws(">", "head", "path").alias("path")))
+    sizes = closure(nodes, edges).groupBy("node").agg((F.count("*") - 1).alias("n_descendants"))
+    return best.join(ways.select("node", "path"), "node").join(sizes, "node").select(F.col("node").alias("term_id"), F.col("origin").alias("root_id"), F.col("steps").cast("int").alias("depth"), "path", "n_descendants")

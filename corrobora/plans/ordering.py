@@ -229,8 +229,7 @@ def closure(spark, d):
     edge = lambda df, c, p: df.select((F.expr(c)).cast("string").alias("child"), F.expr(p).cast("string").alias("parent"))
     edges = edge(table(spark, d, "nation"), "n_nationkey + 100", "n_regionkey + 10").unionByName(edge(table(spark, d, "region"), "r_regionkey + 10", "1")).unionByName(edge(table(spark, d, "supplier"), "s_suppkey + 1000", "s_nationkey + 100"))
     nodes = edges.select(F.explode(F.array("child", "parent")).alias("id")).distinct()
-    found, _ = hierarchy.reach(nodes, edges, "all")
-    return found.where("node <> origin").select(F.col("node").cast("long").alias("node"), F.col("origin").cast("long").alias("ancestor"))
+    return hierarchy.closure(nodes, edges).where("node <> below").select(F.col("below").cast("long").alias("node"), F.col("node").cast("long").alias("ancestor"))
 
 
 @query("op_J13", f"WITH a AS (SELECT case_id, requested_use, count(DISTINCT adm) AS k FROM {_L} GROUP BY ALL), j AS (SELECT case_id, requested_use, max(adm) AS adm FROM {_A} WHERE split = 'test' GROUP BY ALL) SELECT a.case_id, a.requested_use, CASE WHEN k = 1 THEN 'unanimous' WHEN j.case_id IS NOT NULL THEN 'adjudicated' ELSE 'open' END AS resolution FROM a LEFT JOIN j USING (case_id, requested_use)")
