@@ -123,8 +123,7 @@ def peel(edges: DataFrame) -> tuple[list[Round], DataFrame | None, DataFrame | N
 
 
 def _grow(start: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, origin, steps): fewest steps from each origin to every node reached over edges, a round a step. Serves the
-    nodes on cycles and above them only."""
+    """(node, origin, steps): fewest steps from each origin to every node reached over edges, a round a step."""
     found = front = cut(start)
     step = 0
     while not front.isEmpty():
@@ -132,9 +131,9 @@ def _grow(start: DataFrame, edges: DataFrame) -> DataFrame:
         reached = front.join(edges.withColumnRenamed("parent", "node"), "node").select(F.col("child").alias("node"), "origin").distinct()
         front = cut(reached.join(found.select("node", "origin"), ["node", "origin"], "left_anti").select("node", "origin", F.lit(step).cast("long").alias("steps")))
         found = found.unionByName(front)
-        if step % 8 == 0:
+        if step % 4 == 0:
             found = cut(found)
-    return found
+    return cut(found)
 
 
 def _cyclic(edges: DataFrame) -> DataFrame:
@@ -172,67 +171,99 @@ def _cyclic(edges: DataFrame) -> DataFrame:
     return loops.distinct()
 
 
-def _tangle(edges: DataFrame, rest: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
-    """(edges between nodes on cycles or above, those of them on cycles)."""
-    if rest is None:
-        return None, None
-    mine = cut(edges.join(rest.withColumnRenamed("node", "child"), "child", "left_semi").select("child", "parent"))
-    return mine, cut(_cyclic(mine))
+def _send(rounds: list[Round], start: DataFrame) -> list[DataFrame]:
+    """(node, item, steps) that come to nodes when each in its round sends on what it has to the nodes it hangs on and
+    those left out between. `start`: (node, item, steps), what nodes have from the beginning."""
+    sent: list[DataFrame] = []
+    for r in rounds:
+        mine = r.ups.select(F.col("child").alias("node")).distinct()
+        lists = _all([start, *sent]).join(mine, "node", "left_semi").groupBy(F.col("node").alias("child"), "item").agg(F.min("steps").alias("steps"))
+        up = r.ups.withColumnRenamed("steps", "far")
+        to = [up.select("child", F.col("parent").alias("node"), "far")]
+        if r.inner is not None:
+            on = ["parent"] if r.chains else ["child", "parent"]
+            spans = r.inner.select(*on, "node", "at")
+            to.append(up.join(spans, on).where("at < far").select("child", "node", (F.col("far") - F.col("at")).alias("far")))
+        sent.append(cut(_all(to).join(lists, "child").groupBy("node", "item").agg(F.min(F.col("steps") + F.col("far")).alias("steps"))))
+    return sent
+
+
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
+
+
+def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges between some nodes."""
+    return cut(edges.join(nodes.withColumnRenamed("node", "child"), "child", "left_semi").join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").select("child", "parent"))
+
+
+def _spread(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, item, steps) with the fewest steps when (node, item, steps) go down edges, a round a step: within cycles."""
+    known = front = cut(start)
+    while not front.isEmpty():
+        ahead = front.withColumnRenamed("node", "parent").join(edges, "parent").groupBy(F.col("child").alias("node"), "item").agg((F.min("steps") + 1).alias("steps"))
+        front = cut(ahead.join(known.withColumnRenamed("steps", "old"), ["node", "item"], "left").where("old is null or steps < old").drop("old"))
+        known = cut(known.unionByName(front).groupBy("node", "item").agg(F.min("steps").alias("steps")))
+    return known
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, origin, steps): each root a node reaches over its parents, with the fewest steps, a root itself with 0; and
     (node): the nodes that are their own ancestors. `nodes`: (id), `edges`: (child, parent), both without repeats.
 
-    Empty tables give empty results; a node without parents is its own root; self-parents are cycles."""
+    Nodes on cycles and above are peeled once more, from above; what then remains are cycles and what joins them. Empty
+    tables give empty results; a node without parents is its own root; self-parents are cycles."""
     nodes, edges = cut(nodes.select(F.col("id").alias("node"))), cut(edges.select("child", "parent"))
     rounds, rest, loops = peel(edges)
-    top = nodes.join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_anti").select("node", F.col("node").alias("origin"), F.lit(0).cast("long").alias("steps"))
-    found = [cut(top)]
-    tangle, cyclic = _tangle(edges, rest)
-    if tangle is not None:
-        found.append(_grow(top.join(rest, "node", "left_semi"), tangle).where("steps > 0"))
+    zero = F.lit(0).cast("long").alias("steps")
+    top = cut(nodes.join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_anti"))
+    found, cyclic = [top.select("node", F.col("node").alias("item"), zero)], [] if loops is None else [loops]
+    if rest is not None:
+        tangle = _within(edges, rest)
+        down, core, closed = peel(_turned(tangle))
+        sent = _send(down, top.join(rest, "node", "left_semi").select("node", F.col("node").alias("item"), zero))
+        came = cut(_all(sent).groupBy("node", "item").agg(F.min("steps").alias("steps"))) if sent else None
+        cyclic += [] if closed is None else [closed]
+        knots = [x for x in (core, closed) if x is not None]
+        if core is not None:
+            cyclic.append(_cyclic(_within(tangle, core)))
+        if came is not None and knots:
+            knot = cut(_all(knots).distinct())
+            found.append(_spread(came.join(knot, "node", "left_semi"), _within(tangle, knot)))
+            came = came.join(knot, "node", "left_anti")
+        found += [] if came is None else [came]
     for r in reversed(rounds):
         ups = r.ups if rest is None or not r.chains else r.ups.join(rest.withColumnRenamed("node", "child"), "child", "left_anti")
         taken = ups.withColumnRenamed("steps", "more").join(_all(found).withColumnRenamed("node", "parent"), "parent")
-        found.append(cut(taken.groupBy(F.col("child").alias("node"), "origin").agg(F.min(F.col("steps") + F.col("more")).alias("steps"))))
-    on = [x for x in (loops, cyclic) if x is not None]
-    return _all(found), cut(_all(on).distinct()) if on else nodes.limit(0)
+        found.append(cut(taken.groupBy(F.col("child").alias("node"), "item").agg(F.min(F.col("steps") + F.col("more")).alias("steps"))))
+    return _all(found).withColumnRenamed("item", "origin"), cut(_all(cyclic).distinct()) if cyclic else nodes.limit(0)
 
 
-def closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def closure(nodes: DataFrame, edges: DataFrame, turned: bool = False) -> DataFrame:
     """(node, below, steps): every node with itself and each of its descendants, with the fewest steps. As large as its
-    result; of a chain of n nodes that is n * n / 2 rows."""
+    result; of a chain of n nodes that is n * n / 2 rows.
+
+    `turned`: the edges are those of nodes on cycles and above, upside down, so that what remains are the cycles."""
     nodes, edges = cut(nodes.select(F.col("id").alias("node"))), cut(edges.select("child", "parent"))
     rounds, rest, loops = peel(edges)
-    if loops is not None:
-        rest = cut(loops.distinct() if rest is None else rest.unionByName(loops).distinct())
-    sent: list[DataFrame] = []
-    for r in rounds:
-        mine = r.ups.select(F.col("child").alias("node")).distinct()
-        lists = mine.select("node", F.col("node").alias("below"), F.lit(0).cast("long").alias("steps"))
-        if sent:
-            lists = lists.unionByName(_all(sent).join(mine, "node", "left_semi").groupBy("node", "below").agg(F.min("steps").alias("steps")))
-        up = r.ups.withColumnRenamed("steps", "far")
-        to = [up.select("child", F.col("parent").alias("to"), "far")]
-        if r.inner is not None:
-            on = ["parent"] if r.chains else ["child", "parent"]
-            spans = r.inner.select(*on, F.col("node").alias("to"), "at")
-            to.append(up.join(spans, on).where("at < far").select("child", "to", (F.col("far") - F.col("at")).alias("far")))
-        sent.append(cut(_all(to).join(lists.withColumnRenamed("node", "child"), "child").groupBy(F.col("to").alias("node"), "below").agg(F.min(F.col("steps") + F.col("far")).alias("steps"))))
-    own = nodes.select("node", F.col("node").alias("below"), F.lit(0).cast("long").alias("steps"))
-    if rest is None:
-        return _all([own, *sent]).groupBy("node", "below").agg(F.min("steps").alias("steps"))
-    # nodes on cycles and above: what came to them goes on to all that reach them
-    tangle = cut(edges.join(rest.withColumnRenamed("node", "child"), "child", "left_semi").select("child", "parent"))
-    inside = _grow(rest.select("node", F.col("node").alias("origin"), F.lit(0).cast("long").alias("steps")), tangle)
-    inside = cut(inside.select(F.col("origin").alias("node"), F.col("node").alias("below"), "steps"))
-    came = _all(sent).join(rest, "node", "left_semi").select(F.col("node").alias("through"), "below", F.col("steps").alias("more")) if sent else None
+    own = nodes.select("node", F.col("node").alias("item"), F.lit(0).cast("long").alias("steps"))
+    sent = _send(rounds, own)
+    fewest = lambda parts: _all(parts).groupBy("node", F.col("item").alias("below")).agg(F.min("steps").alias("steps"))
+    knots = [x for x in (rest, loops) if x is not None]
+    if not knots:
+        return fewest([own, *sent])
+    rest = cut(_all(knots).distinct())
+    tangle = _within(edges, rest)
+    if turned:
+        inside = _grow(rest.select("node", F.col("node").alias("origin"), F.lit(0).cast("long").alias("steps")), tangle).select(F.col("origin").alias("node"), F.col("node").alias("item"), "steps")
+    else:
+        inside = closure(rest.withColumnRenamed("node", "id"), _turned(tangle), True).select(F.col("below").alias("node"), F.col("node").alias("item"), "steps")
     parts = [own, inside]
-    if came is not None:
-        parts.append(_all(sent).join(rest, "node", "left_anti"))
-        parts.append(inside.withColumnRenamed("below", "through").join(came, "through").select("node", "below", (F.col("steps") + F.col("more")).alias("steps")))
-    return _all(parts).groupBy("node", "below").agg(F.min("steps").alias("steps"))
+    if sent:  # what came to nodes on cycles and above goes on to all that reach them
+        came = _all(sent).join(rest, "node", "left_semi").select(F.col("node").alias("through"), "item", F.col("steps").alias("more"))
+        inside = cut(inside)
+        parts = [own, inside, _all(sent).join(rest, "node", "left_anti"), inside.withColumnRenamed("item", "through").join(came, "through").select("node", "item", (F.col("steps") + F.col("more")).alias("steps"))]
+    return fewest(parts)
 
 
 def under(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,17 +14,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). A folder is set here only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). Where that is unset, a local folder serves a session on one
+    machine, as in tests; on a cluster it is an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corrobora-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="corrobora-")
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes a result to the shared checkpoint folder and reads it from there, so that lost executors cost nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes a result as a table in the shared folder and reads it from there, so that lost executors cost nothing. (A
+    checkpoint would compute its last stage twice.)"""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_by(df: DataFrame, *columns: str) -> DataFrame:
@@ -32,9 +41,10 @@ def cut_by(df: DataFrame, *columns: str) -> DataFrame:
     (A plan that ran adaptively doesn't tell its partitioning after a checkpoint, so this one runs without.)
     """
     spark = df.sparkSession
+    shared_dir(spark)
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns).sortWithinPartitions(*columns))
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns).sortWithinPartitions(*columns).checkpoint(eager=True)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
