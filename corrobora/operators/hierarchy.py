@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import cut
+from ..tables import cut, cut_counted
 
 #: Chains are shortened every so many rounds; between, leaves are taken alone, which is cheaper.
 SHORTEN = 3
@@ -52,6 +52,11 @@ class Round:
     chains: bool = False
 
 
+def _meet(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffled hash tables: dozens of rounds must not leave as many broadcasts with the driver."""
+    return left.join(right.hint("shuffle_hash"), on, how)
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -61,33 +66,33 @@ def _shorten(live: DataFrame, inner: DataFrame | None):
     that close on themselves), or None where there are none."""
     single = live.groupBy("child").agg(F.count("*").alias("n"), F.first("parent").alias("parent"), F.first("steps").alias("steps")).where("n = 1").drop("n")
     lone = live.groupBy("parent").agg(F.count("*").alias("n")).where("n = 1").select("parent")
-    chain = cut(single.join(lone, "parent").select("child", "parent", "steps"))
+    chain = cut(_meet(single, lone, "parent").select("child", "parent", "steps"))
     below = chain.select(F.col("parent").alias("child"))
-    if chain.join(below, "child", "left_semi").isEmpty():
+    if _meet(chain, below, "child", "left_semi").isEmpty():
         return None
-    ends = cut(chain.select("child", F.col("parent").alias("top"), "steps"))
-    members, left = chain.select(F.col("child").alias("top")), None
-    while True:  # pointers twice as long each time; those of open runs end, those of closed ones go round
+    ends, left = chain.select("child", F.col("parent").alias("top"), "steps"), None
+    while True:  # pointers twice as long each time; those of open runs come to an end, those of closed ones go round
         hop = ends.select(F.col("child").alias("top"), F.col("top").alias("top2"), F.col("steps").alias("steps2"))
-        ends = cut(ends.join(hop, "top", "left").select("child", F.coalesce("top2", "top").alias("top"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")))
-        now = ends.join(members, "top", "left_semi").count()
+        moved = F.col("top2").isNotNull()
+        ends, n = cut_counted(_meet(ends, hop, "top", "left").select("child", F.coalesce("top2", "top").alias("top"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), moved.alias("moved")), moved=F.col("moved"))
+        now = n["moved"]
         if now == 0 or now == left:
             break
-        left = now
-    closed = ends.join(members, "top", "left_semi").select("child")
-    done = ends.join(members, "top", "left_anti") if now else ends
-    inside = cut(done.join(below, "child", "left_semi").select("child", F.col("top").alias("parent"), "steps"))
-    lowest = done.join(below, "child", "left_anti").select("child", F.col("top").alias("parent"), "steps")
-    new = cut(live.join(chain.select("child"), "child", "left_anti").select("child", "parent", "steps").unionByName(lowest))
-    spans = inside.withColumnRenamed("child", "node").join(lowest.select("child", "parent"), "parent").select("child", "parent", "node", F.col("steps").alias("at"))
+        ends, left = ends.drop("moved"), now
+    closed = ends.where("moved").select("child")
+    done = ends.where("not moved").drop("moved")
+    inside = cut(_meet(done, below, "child", "left_semi").select("child", F.col("top").alias("parent"), "steps"))
+    lowest = _meet(done, below, "child", "left_anti").select("child", F.col("top").alias("parent"), "steps")
+    new = cut(_meet(live, chain.select("child"), "child", "left_anti").select("child", "parent", "steps").unionByName(lowest))
+    spans = _meet(inside.withColumnRenamed("child", "node"), lowest.select("child", "parent"), "parent").select("child", "parent", "node", F.col("steps").alias("at"))
     loops = closed.select(F.col("child").alias("node"))
     if inner is not None:  # nodes left out before get the new ends of their edge
-        moved = inner.drop("parent").join(done.select("child", "top", F.col("steps").alias("far")), "child").join(chain.select("child", F.col("steps").alias("own")), "child")
-        moved = moved.select("node", F.col("top").alias("parent"), (F.col("at") + F.col("far") - F.col("own")).alias("at"))
-        spans = spans.unionByName(moved.join(lowest.select("child", "parent"), "parent").select("child", "parent", "node", "at"))
-        loops = loops.unionByName(inner.join(closed, "child", "left_semi").select("node"))
+        shifted = _meet(_meet(inner.drop("parent"), done.select("child", "top", F.col("steps").alias("far")), "child"), chain.select("child", F.col("steps").alias("own")), "child")
+        shifted = shifted.select("node", F.col("top").alias("parent"), (F.col("at") + F.col("far") - F.col("own")).alias("at"))
+        spans = spans.unionByName(_meet(shifted, lowest.select("child", "parent"), "parent").select("child", "parent", "node", "at"))
+        loops = loops.unionByName(_meet(inner, closed, "child", "left_semi").select("node"))
     spans = cut(spans)
-    kept = spans if inner is None else spans.unionByName(inner.join(chain.select("child"), "child", "left_anti"))
+    kept = spans if inner is None else spans.unionByName(_meet(inner, chain.select("child"), "child", "left_anti"))
     return new, cut(kept), Round(inside, spans, True), cut(loops) if now else None
 
 
@@ -99,16 +104,16 @@ def peel(edges: DataFrame) -> tuple[list[Round], DataFrame | None, DataFrame | N
     inner, loops, turn = None, [], 0
     while True:
         turn += 1
-        marked = cut(live.join(live.select(F.col("parent").alias("child"), F.lit(True).alias("above")).distinct(), "child", "left"))
-        counted = {r["above"]: r["n"] for r in marked.groupBy("above").agg(F.count("*").alias("n")).collect()}
+        above = live.select(F.col("parent").alias("child"), F.lit(True).alias("above")).distinct()
+        marked, n = cut_counted(_meet(live, above, "child", "left"), leaves=F.col("above").isNull(), others=F.col("above").isNotNull())
         live = marked.where("above").drop("above")
-        if None in counted:
+        if n["leaves"]:
             leaves = marked.where("above is null").drop("above")
-            rounds.append(Round(leaves, None if inner is None else inner.join(leaves.select("child").distinct(), "child", "left_semi")))
-            inner = None if inner is None else inner.join(leaves.select("child").distinct(), "child", "left_anti")
-        if True not in counted:
+            rounds.append(Round(leaves, None if inner is None else _meet(inner, leaves.select("child"), "child", "left_semi")))
+            inner = None if inner is None else _meet(inner, leaves.select("child"), "child", "left_anti")
+        if not n["others"]:
             return rounds, None, _all(loops) if loops else None
-        if None in counted and turn % SHORTEN:
+        if n["leaves"] and turn % SHORTEN:
             continue
         shorter = _shorten(live, inner)
         if shorter is not None:
@@ -116,7 +121,7 @@ def peel(edges: DataFrame) -> tuple[list[Round], DataFrame | None, DataFrame | N
             rounds.append(chains)
             if closed is not None:
                 loops.append(closed)
-        elif None not in counted:
+        elif not n["leaves"]:
             nodes = live.select(F.explode(F.array("child", "parent")).alias("node"))
             rest = nodes if inner is None else nodes.unionByName(inner.select("node"))
             return rounds, cut(rest.distinct()), _all(loops) if loops else None
@@ -177,14 +182,14 @@ def _send(rounds: list[Round], start: DataFrame) -> list[DataFrame]:
     sent: list[DataFrame] = []
     for r in rounds:
         mine = r.ups.select(F.col("child").alias("node")).distinct()
-        lists = _all([start, *sent]).join(mine, "node", "left_semi").groupBy(F.col("node").alias("child"), "item").agg(F.min("steps").alias("steps"))
+        lists = _meet(_all([start, *sent]), mine, "node", "left_semi").groupBy(F.col("node").alias("child"), "item").agg(F.min("steps").alias("steps"))
         up = r.ups.withColumnRenamed("steps", "far")
         to = [up.select("child", F.col("parent").alias("node"), "far")]
         if r.inner is not None:
             on = ["parent"] if r.chains else ["child", "parent"]
             spans = r.inner.select(*on, "node", "at")
-            to.append(up.join(spans, on).where("at < far").select("child", "node", (F.col("far") - F.col("at")).alias("far")))
-        sent.append(cut(_all(to).join(lists, "child").groupBy("node", "item").agg(F.min(F.col("steps") + F.col("far")).alias("steps"))))
+            to.append(_meet(up, spans, on).where("at < far").select("child", "node", (F.col("far") - F.col("at")).alias("far")))
+        sent.append(cut(_meet(_all(to), lists, "child").groupBy("node", "item").agg(F.min(F.col("steps") + F.col("far")).alias("steps"))))
     return sent
 
 
@@ -194,7 +199,7 @@ def _turned(edges: DataFrame) -> DataFrame:
 
 def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges between some nodes."""
-    return cut(edges.join(nodes.withColumnRenamed("node", "child"), "child", "left_semi").join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").select("child", "parent"))
+    return cut(_meet(_meet(edges, nodes.withColumnRenamed("node", "child"), "child", "left_semi"), nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").select("child", "parent"))
 
 
 def _spread(start: DataFrame, edges: DataFrame) -> DataFrame:
@@ -234,7 +239,7 @@ def roots(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         found += [] if came is None else [came]
     for r in reversed(rounds):
         ups = r.ups if rest is None or not r.chains else r.ups.join(rest.withColumnRenamed("node", "child"), "child", "left_anti")
-        taken = ups.withColumnRenamed("steps", "more").join(_all(found).withColumnRenamed("node", "parent"), "parent")
+        taken = _meet(ups.withColumnRenamed("steps", "more"), _all(found).withColumnRenamed("node", "parent"), "parent")
         found.append(cut(taken.groupBy(F.col("child").alias("node"), "item").agg(F.min(F.col("steps") + F.col("more")).alias("steps"))))
     return _all(found).withColumnRenamed("item", "origin"), cut(_all(cyclic).distinct()) if cyclic else nodes.limit(0)
 

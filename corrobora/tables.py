@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """As cut(), with counts of its rows, taken while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[F.count_if(c).alias(n) for n, c in counts.items()]))
+    return out, seen.get
+
+
 def cut_by(df: DataFrame, *columns: str) -> DataFrame:
     """As cut(), dealt by the columns and sorted by them, in a way that later groupings and windows over them see.
 
