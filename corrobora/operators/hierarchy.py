@@ -6,6 +6,8 @@ directly on its highest, so many steps below; pointers that double their reach f
 halve any tree in a few rounds, however deep it is. What neither takes away lies on a cycle or above one; runs that
 close on themselves come out as cycles at once.
 
+Where only roots are asked for, runs of nodes with one parent are drawn together before anything is peeled.
+
 Going up the rounds, each node sends its list of descendants, itself among them, to its parents and to the nodes inside
 the runs it hangs on; what has come to a node by its round is complete. Going back down, each node takes over the
 roots of its parents, once. Lists travel as rows, as that of a root with a third of all nodes would not fit into a task,
@@ -96,10 +98,11 @@ def _shorten(live: DataFrame, inner: DataFrame | None):
     return new, cut(kept), Round(inside, spans, True), cut(loops) if now else None
 
 
-def peel(edges: DataFrame) -> tuple[list[Round], DataFrame | None, DataFrame | None]:
+def peel(edges: DataFrame, shorten: int = SHORTEN) -> tuple[list[Round], DataFrame | None, DataFrame | None]:
     """(rounds in the order in which nodes leave, nodes that lie on cycles or above, nodes of cycles found as closed runs) of edges
-    (child, parent). Nodes without parents leave with their last child and are in no round."""
-    live = cut(edges.select("child", "parent", F.lit(1).cast("long").alias("steps")))
+    (child, parent, steps). Nodes without parents leave with their last child and are in no round. `shorten`: rounds between two that
+    shorten chains, 0 for none."""
+    live = edges
     rounds: list[Round] = []
     inner, loops, turn = None, [], 0
     while True:
@@ -113,9 +116,9 @@ def peel(edges: DataFrame) -> tuple[list[Round], DataFrame | None, DataFrame | N
             inner = None if inner is None else _meet(inner, leaves.select("child"), "child", "left_anti")
         if not n["others"]:
             return rounds, None, _all(loops) if loops else None
-        if n["leaves"] and turn % SHORTEN:
+        if n["leaves"] and (not shorten or turn % shorten):
             continue
-        shorter = _shorten(live, inner)
+        shorter = _shorten(live, inner) if shorten else None
         if shorter is not None:
             live, inner, chains, closed = shorter
             rounds.append(chains)
@@ -142,14 +145,14 @@ def _grow(start: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _cyclic(edges: DataFrame) -> DataFrame:
-    """Nodes that are their own ancestors, by joins: peel from above too, then part after part take the greatest id that
+    """(node, colour): nodes that are their own ancestors, those of one knot with one colour, by joins: peel from above too, then part after part take the greatest id that
     reaches each node, and within its nodes walk back from it."""
     while True:
         kept = cut(edges.join(edges.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent"))
         if kept.count() == edges.count():
             break
         edges = kept
-    loops = edges.where("child = parent").select(F.col("child").alias("node"))
+    loops = edges.where("child = parent").select(F.col("child").alias("node"), F.col("child").alias("colour"))
     found = []
     edges = kept.where("child <> parent")
     while not edges.isEmpty():
@@ -168,7 +171,7 @@ def _cyclic(edges: DataFrame) -> DataFrame:
             if front.isEmpty():
                 break
             part = cut(part.unionByName(front))
-        found.append(cut(part.join(part.groupBy("colour").count().where("count > 1"), "colour", "left_semi").select("node")))
+        found.append(cut(part.join(part.groupBy("colour").count().where("count > 1"), "colour", "left_semi").select("node", "colour")))
         rest = inner.join(part.select(F.col("node").alias("child")), "child", "left_anti").join(part.select(F.col("node").alias("parent")), "parent", "left_anti")
         edges = cut(rest.select("child", "parent"))
     for part in found:
@@ -194,54 +197,82 @@ def _send(rounds: list[Round], start: DataFrame) -> list[DataFrame]:
 
 
 def _turned(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
+    return edges.select(F.col("parent").alias("child"), F.col("child").alias("parent"), *[c for c in edges.columns if c not in ("child", "parent")])
 
 
 def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges between some nodes."""
-    return cut(_meet(_meet(edges, nodes.withColumnRenamed("node", "child"), "child", "left_semi"), nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").select("child", "parent"))
+    return cut(_meet(_meet(edges, nodes.withColumnRenamed("node", "child"), "child", "left_semi"), nodes.withColumnRenamed("node", "parent"), "parent", "left_semi"))
 
 
 def _spread(start: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, item, steps) with the fewest steps when (node, item, steps) go down edges, a round a step: within cycles."""
-    known = front = cut(start)
-    while not front.isEmpty():
-        ahead = front.withColumnRenamed("node", "parent").join(edges, "parent").groupBy(F.col("child").alias("node"), "item").agg((F.min("steps") + 1).alias("steps"))
-        front = cut(ahead.join(known.withColumnRenamed("steps", "old"), ["node", "item"], "left").where("old is null or steps < old").drop("old"))
-        known = cut(known.unionByName(front).groupBy("node", "item").agg(F.min("steps").alias("steps")))
-    return known
+    """(node, item, steps) with the fewest steps when (node, item, steps) go down edges (child, parent, steps), a round a step."""
+    known, moved = start.withColumn("new", F.lit(True)), 1
+    while moved:
+        ahead = _meet(edges.withColumnRenamed("steps", "far"), known.where("new").withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"), "item", (F.col("steps") + F.col("far")).alias("steps"), F.lit(None).cast("long").alias("old"))
+        both = known.select("node", "item", "steps", F.col("steps").alias("old")).unionByName(ahead).groupBy("node", "item").agg(F.min("steps").alias("steps"), F.min("old").alias("old"))
+        known, n = cut_counted(both.select("node", "item", "steps", (F.col("old").isNull() | (F.col("steps") < F.col("old"))).alias("new")), new=F.col("new"))
+        moved = n["new"]
+    return known.drop("new")
+
+
+def _runs(single: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(child, top, steps): nodes with one parent (child, top, steps: 1) and the first node above them that has none or
+    several; and (node): those on cycles of such nodes, if there are any. Pointers double their reach each round; ends
+    that are found leave the rounds, so that a root with very many nodes below it is met once."""
+    ended: list[DataFrame] = []
+    open_, left, reach = single, None, 1
+    while True:
+        hop = _all([open_, *ended]).select(F.col("child").alias("top"), F.col("top").alias("top2"), F.col("steps").alias("steps2"))
+        moved = F.col("top2").isNotNull()
+        both, n = cut_counted(_meet(open_, hop, "top", "left").select("child", F.coalesce("top2", "top").alias("top"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), moved.alias("moved")), moved=F.col("moved"))
+        ended.append(both.where("not moved").drop("moved"))
+        open_, now, reach = both.where("moved").drop("moved"), n["moved"], 2 * reach
+        if now == 0:
+            return _all(ended), None
+        if now == left and reach >= now:  # all that are left go round, and have gone far enough to stand on their cycle
+            return _all(ended), cut(open_.select(F.col("top").alias("node")).distinct())
+        left = now
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, origin, steps): each root a node reaches over its parents, with the fewest steps, a root itself with 0; and
     (node): the nodes that are their own ancestors. `nodes`: (id), `edges`: (child, parent), both without repeats.
 
-    Nodes on cycles and above are peeled once more, from above; what then remains are cycles and what joins them. Empty
+    Runs of nodes with one parent each are drawn together first; what is peeled are the nodes with several parents,
+    over the runs between them. Nodes on cycles and above are peeled once more, from above; what then remains are the
+    cycles. Rounds grow with the number of nodes with several parents one above the other, not with the depth. Empty
     tables give empty results; a node without parents is its own root; self-parents are cycles."""
-    nodes, edges = cut(nodes.select(F.col("id").alias("node"))), cut(edges.select("child", "parent"))
-    rounds, rest, loops = peel(edges)
-    zero = F.lit(0).cast("long").alias("steps")
-    top = cut(nodes.join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_anti"))
-    found, cyclic = [top.select("node", F.col("node").alias("item"), zero)], [] if loops is None else [loops]
+    edges = cut(edges.select("child", "parent"))
+    counted = edges.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("n"), F.first("parent").alias("parent"))
+    up = cut(_meet(nodes.select(F.col("id").alias("node")), counted, "node", "left"))
+    one = F.lit(1).cast("long").alias("steps")
+    single = up.where("n = 1").select(F.col("node").alias("child"), F.col("parent").alias("top"), one)
+    runs, loops = _runs(single)
+    ways = _meet(edges, up.where("n > 1").select(F.col("node").alias("child")), "child", "left_semi")
+    ways = _meet(ways, runs.select(F.col("child").alias("parent"), F.col("top"), F.col("steps").alias("more")), "parent", "left")
+    ways = cut(_meet(ways, single.select(F.col("child").alias("parent"), F.lit(True).alias("run")), "parent", "left").where("run is null or top is not null").select("child", F.coalesce("top", "parent").alias("parent"), (F.coalesce("more", F.lit(0)) + 1).alias("steps"), F.when(F.col("run"), F.col("parent")).alias("by")))
+    links = cut(ways.groupBy("child", "parent").agg(F.min("steps").alias("steps")))
+    rounds, rest, _ = peel(links, 0)
+    top = up.where("n is null").select("node", F.col("node").alias("item"), F.lit(0).cast("long").alias("steps"))
+    found, cyclic = [top], [] if loops is None else [loops]
     if rest is not None:
-        tangle = _within(edges, rest)
-        down, core, closed = peel(_turned(tangle))
-        sent = _send(down, top.join(rest, "node", "left_semi").select("node", F.col("node").alias("item"), zero))
-        came = cut(_all(sent).groupBy("node", "item").agg(F.min("steps").alias("steps"))) if sent else None
-        cyclic += [] if closed is None else [closed]
-        knots = [x for x in (core, closed) if x is not None]
+        tangle = _within(links, rest)
+        found.append(_spread(_meet(top, rest, "node", "left_semi"), tangle).where("steps > 0"))
+        _, core, _ = peel(_turned(tangle), 0)
         if core is not None:
-            cyclic.append(_cyclic(_within(tangle, core)))
-        if came is not None and knots:
-            knot = cut(_all(knots).distinct())
-            found.append(_spread(came.join(knot, "node", "left_semi"), _within(tangle, knot)))
-            came = came.join(knot, "node", "left_anti")
-        found += [] if came is None else [came]
+            knots = cut(_cyclic(_within(tangle, core).select("child", "parent")))
+            cyclic.append(knots.select("node"))
+            mine = _meet(_meet(ways.where("by is not null"), knots.withColumnRenamed("node", "child"), "child"), knots.withColumnRenamed("node", "parent"), ["parent", "colour"])
+            # nodes of the runs between nodes of one knot, walked upwards
+            walk = mine.select(F.col("by").alias("node"), F.lit("").alias("item"), F.lit(0).cast("long").alias("steps")).distinct()
+            cyclic.append(_spread(walk, single.join(runs.select("child"), "child", "left_semi").join(single.select(F.col("child").alias("top")), "top", "left_semi").select(F.col("top").alias("child"), F.col("child").alias("parent"), F.lit(0).cast("long").alias("steps"))).select("node"))
     for r in reversed(rounds):
-        ups = r.ups if rest is None or not r.chains else r.ups.join(rest.withColumnRenamed("node", "child"), "child", "left_anti")
-        taken = _meet(ups.withColumnRenamed("steps", "more"), _all(found).withColumnRenamed("node", "parent"), "parent")
+        taken = _meet(r.ups.withColumnRenamed("steps", "more"), _all(found).withColumnRenamed("node", "parent"), "parent")
         found.append(cut(taken.groupBy(F.col("child").alias("node"), "item").agg(F.min(F.col("steps") + F.col("more")).alias("steps"))))
-    return _all(found).withColumnRenamed("item", "origin"), cut(_all(cyclic).distinct()) if cyclic else nodes.limit(0)
+    met = cut(_all(found))
+    along = runs.withColumnRenamed("steps", "more").join(met.withColumnRenamed("node", "top"), "top").select(F.col("child").alias("node"), "item", (F.col("steps") + F.col("more")).alias("steps"))
+    return met.unionByName(along).withColumnRenamed("item", "origin"), cut(_all(cyclic).distinct()) if cyclic else up.select("node").limit(0)
 
 
 def closure(nodes: DataFrame, edges: DataFrame, turned: bool = False) -> DataFrame:
@@ -250,7 +281,7 @@ def closure(nodes: DataFrame, edges: DataFrame, turned: bool = False) -> DataFra
 
     `turned`: the edges are those of nodes on cycles and above, upside down, so that what remains are the cycles."""
     nodes, edges = cut(nodes.select(F.col("id").alias("node"))), cut(edges.select("child", "parent"))
-    rounds, rest, loops = peel(edges)
+    rounds, rest, loops = peel(edges.withColumn("steps", F.lit(1).cast("long")))
     own = nodes.select("node", F.col("node").alias("item"), F.lit(0).cast("long").alias("steps"))
     sent = _send(rounds, own)
     fewest = lambda parts: _all(parts).groupBy("node", F.col("item").alias("below")).agg(F.min("steps").alias("steps"))
