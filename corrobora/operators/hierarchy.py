@@ -267,10 +267,10 @@ def roots(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
             # nodes of the runs between nodes of one knot, walked upwards
             walk = mine.select(F.col("by").alias("node"), F.lit("").alias("item"), F.lit(0).cast("long").alias("steps")).distinct()
             cyclic.append(_spread(walk, single.join(runs.select("child"), "child", "left_semi").join(single.select(F.col("child").alias("top")), "top", "left_semi").select(F.col("top").alias("child"), F.col("child").alias("parent"), F.lit(0).cast("long").alias("steps"))).select("node"))
-    for r in reversed(rounds):
-        taken = _meet(r.ups.withColumnRenamed("steps", "more"), _all(found).withColumnRenamed("node", "parent"), "parent")
-        found.append(cut(taken.groupBy(F.col("child").alias("node"), "item").agg(F.min(F.col("steps") + F.col("more")).alias("steps"))))
     met = cut(_all(found))
+    for r in reversed(rounds):  # one table throughout, so that every round runs the same compiled plan
+        taken = _meet(r.ups.withColumnRenamed("steps", "more"), met.withColumnRenamed("node", "parent"), "parent")
+        met = cut(met.unionByName(taken.groupBy(F.col("child").alias("node"), "item").agg(F.min(F.col("steps") + F.col("more")).alias("steps"))))
     along = runs.withColumnRenamed("steps", "more").join(met.withColumnRenamed("node", "top"), "top").select(F.col("child").alias("node"), "item", (F.col("steps") + F.col("more")).alias("steps"))
     return met.unionByName(along).withColumnRenamed("item", "origin"), cut(_all(cyclic).distinct()) if cyclic else up.select("node").limit(0)
 

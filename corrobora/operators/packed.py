@@ -49,9 +49,11 @@ def packed_rows(df: DataFrame, row_id: str, values: Column, src: str, least: int
 
 
 def locator_values(locator: Column) -> Column:
-    """Values of a locator: key=value pairs and anchors. Anything else is one value."""
+    """Values of a locator of key=value pairs and anchors. Any other locator, also one that holds more than these, is one
+    value, so that nothing of it is lost."""
     s = split_packed(locator, LOCATOR)
-    return F.filter(s, lambda v: v.rlike(r"^#") | v.rlike(r"^[\w.-]+\s*="))
+    fine = F.forall(s, lambda v: v.rlike(r"^#") | v.rlike(r"^[\w.-]+\s*="))
+    return F.when(fine, s).otherwise(F.array(F.trim(locator)))
 
 
 def symbol_values(symbols: Column) -> Column:

@@ -129,17 +129,27 @@ def _packed(df: DataFrame, **columns: str | None) -> DataFrame:
     return df.select(row, *[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(f"_{k}") for k, c in columns.items()])
 
 
+def _known_zone(df: DataFrame, name: Column) -> Column:
+    """The name, or null if the zone database hasn't it (the engine would end the job over such a name)."""
+    jvm = df.sparkSession._jvm
+    names = jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds()).split(",")
+    return F.when(name.isin(names), name)
+
+
 def normal_moments(df: DataFrame, raw: str, tz: str, order: str) -> DataFrame:
     """Adds `normal_form`: the moment of `raw` as YYYY-MM-DDTHH:MM:SSZ, or null where it names none.
 
-    Null, blank, unreadable and impossible values, values without a time of day, unknown zone names, local times of an
-    unknown site (null `tz`) and local times skipped by a clock change give null. A local time that occurs twice means
+    A zone in brackets behind the time ([Europe/Berlin]) is its zone if it has no other. Null, blank, unreadable and
+    impossible values, values without a time of day, unknown zone names, local times of an
+    unknown site (`tz` null or no zone) and local times skipped by a clock change give null. A local time that occurs twice means
     its first occurrence; fractions are dropped. The rows and the other columns stay as they are, but for
     a column normal_form, which is replaced.
     """
     df = with_parts(_packed(df, raw=raw, tz=tz, order=order), "_raw", "_order")
     df = step(df, _local=F.col("_days") * 86400 + F.col("_secs"), _offset=F.when(F.col("_zone") != "", _offset_minutes(F.col("_zone"))))
     local = F.col("_local")
+    named = F.when(F.col("_raw").contains("["), F.regexp_extract("_raw", r"\[([\w/+-]+)\]\s*$", 1)).otherwise("")
+    df = step(df.withColumnRenamed("_tz", "_site"), _tz=_known_zone(df, F.when(named != "", named).otherwise(F.col("_site"))))
     df = step(df, _utc=F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(local), F.col("_tz"))))
     back = F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds("_utc"), F.col("_tz")))
     df = step(df, _at=F.coalesce("_epoch", F.when(F.col("_timed"), F.when(F.col("_zone") != "", local - F.col("_offset") * 60).when(back == local, F.col("_utc")))))

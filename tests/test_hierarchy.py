@@ -66,7 +66,6 @@ def shapes():
     rng = random.Random(5)
     name = lambda k: f"n{k:03d}"
     yield "random", 40, [(name(k), name(rng.randrange(40))) for k in range(40) for _ in range(rng.choice([0, 1, 1, 2]))]
-    yield "tree", 80, [(name(k), name(rng.randrange(k))) for k in range(1, 80)]
     yield "dag", 70, [(name(k), name(rng.randrange(k))) for k in range(1, 70) for _ in range(rng.choice([1, 1, 1, 2]))]
     yield "caterpillar", 60, [(name(k), name(k - 1)) for k in range(1, 30)] + [(name(30 + k), name(k)) for k in range(30)]
     yield "bypass", 40, [(name(k), name(k - 1)) for k in range(1, 40)] + [(name(30), name(3)), (name(39), name(20))]

@@ -4,7 +4,7 @@ from corrobora.operators import packed
 
 LOCATORS = {
     "#p44": ["#p44"], "#p2 #p54": ["#p2", "#p54"], "#p8 | #p73 | #p32": ["#p8", "#p73", "#p32"],
-    "Figure 7; lower panel": [], 'cluster=1; "note=check x; row 3"': ["cluster=1", "note=check x; row 3"],
+    "Figure 7; lower panel": ["Figure 7; lower panel"], 'cluster=1; "note=check x; row 3"': ["cluster=1", "note=check x; row 3"],
     "page = 13;gene=ABC1;": ["page=13", "gene=ABC1"], "table=Table 2, panel a;page=3": ["table=Table 2, panel a", "page=3"],
     'gene = A / "table=Table 2, panel a" / pct_in=0.8': ["gene=A", "table=Table 2, panel a", "pct_in=0.8"],
     "cluster=17；gene=SGD83": ["cluster=17", "gene=SGD83"], 'note="check a; page=4";page=5': ["note=check a; page=4", "page=5"],
@@ -41,3 +41,9 @@ def test_rows(spark):
     assert got == [("a", 0, "x=1"), ("a", 1, "x=1")]
     assert packed.packed_rows(df, "id", packed.locator_values(F.col("t")), "s").where("row_id = 'd'").count() == 5000
     assert packed.packed_rows(df.limit(0), "id", packed.locator_values(F.col("t")), "s").count() == 0
+
+
+def test_other_locators_are_one_value(spark):
+    rows = ["page 3; table=2; gene=TP53", "table=2; gene=TP53", "#p1 #p2", "Table 2, row 4", None, ""]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(rows)], "k int, v string")
+    assert [r.x for r in df.select("k", packed.locator_values(F.col("v")).alias("x")).orderBy("k").collect()] == [["page 3; table=2; gene=TP53"], ["table=2", "gene=TP53"], ["#p1", "#p2"], ["Table 2, row 4"], [], []]

@@ -61,3 +61,10 @@ def test_day_arithmetic(spark, year):
     days = [dt.date(year, m, d) for m, d in ((1, 1), (2, 28), (3, 1), (12, 31))]
     got = [r.normal_form for r in normal_days(spark.createDataFrame([(f"{x:%d %b %Y}",) for x in days], "raw string"), "raw").collect()]
     assert got == [x.isoformat() for x in days]
+
+
+def test_zones_by_name(spark):
+    rows = [("2024-01-02T10:00[Europe/Berlin]", "America/New_York"), ("2024-01-02T10:00+05:00[Europe/Berlin]", "UTC"), ("2024-01-02T10:00Z", "No/Where"), ("2024-01-02T10:00", "No/Where"), ("2024-01-02T10:00[No/Where]", "UTC"), ("2024-01-02 10:00", "Asia/Tokyo")]
+    df = spark.createDataFrame([(k, v, z, "YMD") for k, (v, z) in enumerate(rows)], "k int, v string, tz string, o string")
+    got = [r.normal_form for r in normal_moments(df, "v", "tz", "o").orderBy("k").collect()]
+    assert got == ["2024-01-02T09:00:00Z", "2024-01-02T05:00:00Z", "2024-01-02T10:00:00Z", None, None, "2024-01-02T01:00:00Z"]
