@@ -1,13 +1,10 @@
-"""Rules as tables: each gives findings, findings fold into one decision per record and use.
-
-A rule is a filter over flat tables, all rules are unioned, and decisions are one aggregation over (record, use), which
-combines on the map side. Nothing is decided record by record.
+"""Findings fold into one decision per record and use: one aggregation over (record, use), which combines on the map
+side. Nothing is decided record by record.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,16 +13,6 @@ SEVERITY = {"review": 1, "error": 2}
 STATUS = ("admitted", "review_required", "rejected")
 
 
-def emit(rows: DataFrame, condition: Column, rule: str, severity: str, use: Column | None = None) -> DataFrame:
-    """(record_id, rule_id, severity, use) of the rows that meet the condition; a null use is a finding for all uses."""
-    use = F.lit(None).cast("string") if use is None else use
-    return rows.where(condition).select("record_id", F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), use.alias("use"))
-
-
-def union_findings(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def contract_column(contracts: Mapping[str, Sequence[str]]) -> Column:
     """The declared contracts as a literal array<struct<use, required_type>>, with a null type for a use that requires
     none; exploded beside a record it gives the record's demands without a join."""
@@ -33,24 +20,6 @@ def contract_column(contracts: Mapping[str, Sequence[str]]) -> Column:
     return F.array(*[F.struct(F.lit(u).alias("use"), F.lit(t).cast("string").alias("required_type")) for u, t in rows])
 
 
-def missing_types(items: DataFrame, records: DataFrame, contracts: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(record_id, use, missing): required evidence types that no item of the record has (J4, J5, P9). `items` has
-    record_id and evidence_type, of which only distinct pairs go into the join."""
-    have = items.select("record_id", F.col("evidence_type").alias("required_type")).distinct()
-    asked = records.select("record_id").distinct().select("record_id", F.inline(contract_column(contracts))).where("required_type is not null")
-    return asked.join(have, ["record_id", "required_type"], "left_anti").groupBy("record_id", "use").agg(F.array_join(F.array_sort(F.collect_set("required_type")), "|").alias("missing"))
-
-
-def method_rule(methods: Column, llm: str = "llm_extraction", match: str = "string_match") -> Column:
-    """Rule broken by a set of extraction methods that holds nothing but weak ones; null for others and empty sets."""
-    return (
-        F.when(F.size(methods) == 0, F.lit(None).cast("string"))
-        .when(F.size(F.array_except(methods, F.array(F.lit(llm)))) == 0, "llm_only")
-        .when(F.size(F.array_except(methods, F.array(F.lit(match)))) == 0, "match_only")
-        .when(F.size(F.array_except(methods, F.array(F.lit(llm), F.lit(match)))) == 0, "weak_mix")
-    )
-
-
 def decide(findings: DataFrame, asked: DataFrame) -> DataFrame:
     """(record_id, use, status, reason_codes) for every asked (record_id, use): the gravest finding that concerns the
     use, and the sorted distinct rules."""

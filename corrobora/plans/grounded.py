@@ -10,7 +10,7 @@ from ..operators import findings as R
 from ..operators import grounding as G
 from ..tables import table
 from .registry import Registry
-from .relations import _FULL, decisions, full, joined_quotes
+from .relations import _FULL, full, joined_quotes
 from .statistics import _A as _ADM
 from .statistics import _L, _PRED, labels, majority
 from .texts import _ITEMS, items
@@ -159,13 +159,6 @@ def named(spark, d):
     return items(spark, d).select("id", F.concat(F.lit("evidence "), F.regexp_extract("id", "0*([0-9]+)$", 1), F.when(F.col("locator").isNull(), "").otherwise(F.concat(F.lit(" ("), "locator", F.lit(")")))).alias("named"))
 
 
-@query("op_R17")
-def reports(spark, d):
-    """A record's decisions as one report row; a record has few uses, so the list is short."""
-    one = F.struct("use", "status", "reason_codes")
-    return decisions(spark, d).groupBy("record_id").agg(F.array_sort(F.collect_list(one)).alias("decisions")).join(R.overall(decisions(spark, d)), "record_id")
-
-
 @query("op_P30", "SELECT DISTINCT episode_id, list_sort(json_keys(payload)) = ['attempts', 'calls', 'model', 'task_id'] AS shaped FROM episodes WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'")
 def shapes(spark, d):
     keys = F.array_sort(F.json_object_keys("payload"))
@@ -183,31 +176,6 @@ def as_predictions(spark, d):
     return labels(spark, d).select("case_id", "requested_use", F.col("reviewer_id").alias("method"), F.col("adm").alias("predicted_status"), F.when(F.col("requested_use") == "expert_panel", "divergent").otherwise("control").alias("subset"))
 
 
-@query("op_P3", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority LIKE '1%'")
-def status(spark, d):
-    return table(spark, d, "orders").where("o_orderstatus in ('F', 'P') and o_orderpriority like '1%'").select("o_orderkey")
-
-
-@query("op_P5", f"SELECT id, evidence_type NOT IN ('publication_quote', 'table_row', 'criteria_application') AS outside FROM {_FULL}")
-def allowlist(spark, d):
-    return full(spark, d).select("id", (~F.col("evidence_type").isin("publication_quote", "table_row", "criteria_application")).alias("outside"))
-
-
-@query("op_P6", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_discount <= 0.01 GROUP BY 1")
-def contradictions(spark, d):
-    return table(spark, d, "lineitem").where("l_discount <= 0.01").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-
-
-@query("op_P10", f"SELECT record_id, evidence_type, bool_or(extraction_method = 'manual_curation') AS verified FROM {_FULL} GROUP BY ALL")
-def verified_types(spark, d):
-    return full(spark, d).groupBy("record_id", "evidence_type").agg(F.bool_or(F.col("extraction_method") == "manual_curation").alias("verified"))
-
-
-@query("op_P13", f"SELECT case_id, requested_use, CASE WHEN bool_or(adm = 'rejected') THEN 'refused' WHEN bool_or(adm = 'review_required') THEN 'deferred' ELSE 'accepted' END AS verdict FROM {_L} GROUP BY ALL")
-def verdicts(spark, d):
-    return labels(spark, d).groupBy("case_id", "requested_use").agg(F.when(F.bool_or(F.col("adm") == "rejected"), "refused").when(F.bool_or(F.col("adm") == "review_required"), "deferred").otherwise("accepted").alias("verdict"))
-
-
 @query("op_P14", "SELECT DISTINCT e.id, CASE WHEN w.h IS NULL THEN 'absent' WHEN left(w.h, 1) < '4' THEN 'mismatch' END AS code FROM evidence_items e LEFT JOIN (SELECT work_key, max(fulltext_sha256) AS h FROM works GROUP BY 1) w ON w.work_key = e.source_artifact_id")
 def source_bytes(spark, d):
     """Are the bytes of the item's source at hand, and are they those expected? (Here a digest's first digit stands in.)"""
@@ -233,11 +201,6 @@ def linked(spark, d):
     return t.join(u, "case_id", "left").select("task_id", F.col("k").isNull().alias("unreviewed"))
 
 
-@query("op_P32", f"SELECT record_id, bool_and(extraction_method IN ('llm_extraction', 'string_match')) AS weak FROM {_FULL} WHERE human GROUP BY 1")
-def aggregate_gate(spark, d):
-    return full(spark, d).where("human").groupBy("record_id").agg(F.bool_and(F.col("extraction_method").isin("llm_extraction", "string_match")).alias("weak"))
-
-
 @query("op_P33", "SELECT doc_id, CASE WHEN work_key IS NULL THEN 'no_work' WHEN work_key NOT IN (SELECT work_key FROM works WHERE work_key IS NOT NULL) THEN 'not_found' WHEN section IS NULL THEN 'no_section' WHEN lang <> 'en' OR lang IS NULL THEN 'unverifiable' ELSE 'found' END AS category FROM documents")
 def categories(spark, d):
     w = table(spark, d, "works").select("work_key", F.lit(True).alias("there")).distinct()

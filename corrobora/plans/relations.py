@@ -17,7 +17,6 @@ query = Registry()
 CONTRACTS = {"research_summary": ["publication_quote"], "clinical_report": ["publication_quote", "table_row"], "expert_panel": ["criteria_application", "publication_quote"]}
 _CONTRACT = "(VALUES ('research_summary', 'publication_quote'), ('clinical_report', 'publication_quote'), ('clinical_report', 'table_row'), ('expert_panel', 'criteria_application'), ('expert_panel', 'publication_quote')) AS c(use, required_type)"
 _FULL = "(SELECT DISTINCT id, record_id, source_artifact_id, evidence_type, extraction_method, list_contains(coalesce(scope, []), 'NCBITaxon:9606') AS human, created_by.agent_type AS agent_type FROM evidence_items)"
-_MISSING = f"(SELECT r.record_id, c.use, array_to_string(list_sort(list(DISTINCT c.required_type)), '|') AS missing FROM (SELECT DISTINCT record_id FROM evidence_items) r CROSS JOIN {_CONTRACT} ANTI JOIN evidence_items e ON e.record_id = r.record_id AND e.evidence_type = c.required_type GROUP BY ALL)"
 
 
 def full(spark, d):
@@ -30,80 +29,6 @@ def records(spark, d):
     return table(spark, d, "evidence_items").select("record_id").distinct()
 
 
-def _missing(spark, d):
-    return R.missing_types(table(spark, d, "evidence_items"), records(spark, d), CONTRACTS)
-
-
-_METHOD = "CASE WHEN m = ['llm_extraction'] THEN 'llm_only' WHEN m = ['string_match'] THEN 'match_only' WHEN m = ['llm_extraction', 'string_match'] THEN 'weak_mix' END"
-_FINDINGS = f"""(SELECT record_id, 'scope' AS rule_id, 2 AS sev, NULL AS use FROM {_FULL} WHERE NOT human
-UNION ALL SELECT record_id, 'author', 1, NULL FROM {_FULL} WHERE agent_type IS NULL
-UNION ALL SELECT record_id, 'missing_type', 2, use FROM {_MISSING}
-UNION ALL SELECT record_id, rule_id, 1, NULL FROM (SELECT record_id, {_METHOD} AS rule_id FROM (SELECT record_id, list_sort(list(DISTINCT extraction_method)) AS m FROM {_FULL} GROUP BY 1)) WHERE rule_id IS NOT NULL)"""
-
-
-def findings_of(spark, d):
-    e = full(spark, d)
-    methods = e.groupBy("record_id").agg(F.collect_set("extraction_method").alias("m")).withColumn("rule", R.method_rule(F.col("m"))).where("rule is not null")
-    weak = methods.select("record_id", F.col("rule").alias("rule_id"), F.lit("review").alias("severity"), F.lit(None).cast("string").alias("use"))
-    return R.union_findings([R.emit(e, ~F.col("human"), "scope", "error"), R.emit(e, F.col("agent_type").isNull(), "author", "review"), R.emit(_missing(spark, d), F.lit(True), "missing_type", "error", F.col("use")), weak])
-
-
-def decisions(spark, d):
-    asked = records(spark, d).select("record_id", F.explode(F.array(*[F.lit(u) for u in CONTRACTS])).alias("use"))
-    return R.decide(findings_of(spark, d), asked)
-
-
-_DECIDE = f"""(WITH f AS {_FINDINGS}, a AS (SELECT r.record_id, u.use FROM (SELECT DISTINCT record_id FROM evidence_items) r CROSS JOIN (VALUES ('research_summary'), ('clinical_report'), ('expert_panel')) AS u(use))
-SELECT a.record_id, a.use, CASE coalesce(max(f.sev), 0) WHEN 2 THEN 'rejected' WHEN 1 THEN 'review_required' ELSE 'admitted' END AS status, coalesce(array_to_string(list_sort(list(DISTINCT f.rule_id) FILTER (f.rule_id IS NOT NULL)), '|'), '') AS reason_codes
-FROM a LEFT JOIN f ON f.record_id = a.record_id AND (f.use IS NULL OR f.use = a.use) GROUP BY a.record_id, a.use)"""
-
-query("op_decide", f"SELECT * FROM {_DECIDE}")(decisions)
-
-
-@query("op_P31", f"SELECT record_id, CASE max(CASE status WHEN 'rejected' THEN 2 WHEN 'review_required' THEN 1 ELSE 0 END) WHEN 2 THEN 'rejected' WHEN 1 THEN 'review_required' ELSE 'admitted' END AS overall FROM {_DECIDE} GROUP BY 1")
-def overall(spark, d):
-    return R.overall(decisions(spark, d))
-
-
-@query("op_U1", f"SELECT rule_id, count(*) AS n FROM {_FINDINGS} GROUP BY 1")
-def findings_union(spark, d):
-    return findings_of(spark, d).groupBy("rule_id").agg(F.count("*").alias("n"))
-
-
-query("op_P9", f"SELECT record_id, use, missing FROM {_MISSING}")(_missing)
-
-
-@query("op_P11", f"SELECT record_id, {_METHOD} AS rule_id FROM (SELECT record_id, list_sort(list(DISTINCT extraction_method)) AS m FROM {_FULL} GROUP BY 1)")
-def method_sets(spark, d):
-    return full(spark, d).groupBy("record_id").agg(F.collect_set("extraction_method").alias("m")).select("record_id", R.method_rule(F.col("m")).alias("rule_id"))
-
-
-@query("op_P2", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
-def doubled_ids(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
-
-
-@query("op_P4", "SELECT DISTINCT work_key, coalesce(fulltext_sha256, abstract_sha256, metadata_sha256) <> metadata_sha256 AS changed FROM works WHERE metadata_sha256 IS NOT NULL")
-def changed_hashes(spark, d):
-    return table(spark, d, "works").where("metadata_sha256 is not null").select("work_key", (F.coalesce("fulltext_sha256", "abstract_sha256", "metadata_sha256") != F.col("metadata_sha256")).alias("changed")).distinct()
-
-
-@query("op_P7", "SELECT DISTINCT id, list_sort(list_distinct(coalesce(scope, []))) <> ['NCBITaxon:9606'] AS other_scope FROM evidence_items")
-def scope_sets(spark, d):
-    s = F.array_sort(F.array_distinct(F.coalesce("scope", F.array().cast("array<string>"))))
-    return table(spark, d, "evidence_items").select("id", (s != F.array(F.lit("NCBITaxon:9606"))).alias("other_scope")).distinct()
-
-
-@query("op_P8", "SELECT o_orderkey FROM orders ANTI JOIN lineitem ON l_orderkey = o_orderkey")
-def unsupported(spark, d):
-    return table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey")
-
-
-@query("op_P12", f"SELECT case_id, requested_use FROM {_L} GROUP BY ALL HAVING count(*) >= 2 AND bool_and(adm = 'admitted')")
-def independent(spark, d):
-    return labels(spark, d).groupBy("case_id", "requested_use").agg(F.count("*").alias("n"), F.bool_and(F.col("adm") == "admitted").alias("ok")).where("n >= 2 and ok").select("case_id", "requested_use")
-
-
 @query("op_P21", f"SELECT id FROM {_ITEMS} WHERE {cue_sql(T.NEGATION)}")
 def negated(spark, d):
     return items(spark, d).where(T.has_cue(F.col("extracted_text"), T.NEGATION)).select("id")
@@ -369,12 +294,6 @@ def carried(spark, d):
     return a.subtract(b).groupBy("record_id").agg(F.count("*").alias("carried"))
 
 
-@query("op_C3", f"SELECT record_id, use, list_has_all(['author', 'llm_only', 'match_only', 'weak_mix'], string_split(reason_codes, '|')) AS to_expert FROM {_DECIDE} WHERE reason_codes <> ''")
-def to_expert(spark, d):
-    codes = F.array(*[F.lit(x) for x in ("author", "llm_only", "match_only", "weak_mix")])
-    return decisions(spark, d).where("reason_codes <> ''").select("record_id", "use", (F.size(F.array_except(F.split("reason_codes", r"\|"), codes)) == 0).alias("to_expert"))
-
-
 @query("op_C5", "SELECT DISTINCT task_id FROM llm_tasks ANTI JOIN (SELECT DISTINCT replace(case_id, 'case', 'task') AS t FROM annotations) a ON t = task_id")
 def unfinished(spark, d):
     done = table(spark, d, "annotations").select(F.replace("case_id", F.lit("case"), F.lit("task")).alias("task_id"))
