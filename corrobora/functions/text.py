@@ -98,6 +98,34 @@ def quote_in(quote: Column, text: Column) -> Column:
     return F.when(text.contains(quote), True).when((stem != "") & text.contains(stem), F.regexp_like(text, tail)).otherwise(False)
 
 
+@F.pandas_udf(StringType())
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+
+def plain(text: Column) -> Column:
+    """The scorers' form: compatibility forms joined, plain quotes and dashes, single blanks, none just inside brackets or
+    before punctuation. Texts of plain ASCII never leave the JVM."""
+    t = F.translate(F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_composed(text)), *PLAIN_MARKS)
+    return F.regexp_replace(F.regexp_replace(clean(t), r" +(?=[)\],.;:])", ""), r"(?<=[(\[]) +", "")
+
+
+def in_paper(quote: Column, paragraph: Column) -> Column:
+    """Whether a quote stands in a paragraph as the scorers see it, both in plain form: as it is, or but for its last
+    marks where the paragraph ends or goes on with brackets and then a mark."""
+    needle, text = plain(quote), plain(paragraph)
+    stem = F.rtrim(needle, F.lit(" .;:"))
+    tail = F.concat(F.lit(r"\Q"), F.replace(stem, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\s*(?:\([^)]*\)\s*)*(?:[.;:]|$)"))
+    return F.when(needle == "", False).when(text.contains(needle), True).when((stem != "") & text.contains(stem), F.regexp_like(text, tail)).otherwise(False)
+
+
+def fresh(base: Column, k: Column, taken: Column) -> Column:
+    """The k-th free name (from 1) after `base`: the base itself if it isn't taken, else with -2, -3 ... and so on past all taken."""
+    numbers = F.sequence(F.lit(1), k + F.size(taken))
+    names = F.transform(numbers, lambda n: F.when(n == 1, base).otherwise(F.concat(base, F.lit("-"), n.cast("string"))))
+    return F.get(F.filter(names, lambda x: ~F.array_contains(taken, x)), k - 1)
+
+
 def identifier(uri: Column) -> Column:
     """pmid:, pmcid: or doi: key of a publication's address; null for any other."""
     value = F.regexp_replace(F.trim(uri), r"(?i)^https?://(?:dx\.)?doi\.org/", "doi:")

@@ -38,12 +38,6 @@ def top_genes(spark, d):
     return q.select(F.col("p_brand").alias("cluster"), F.col("l_partkey").alias("gene"), k.cast("long").alias("k")).where("k <= 10")
 
 
-@query("op_W3", "SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS gate, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last FROM orders GROUP BY 1")
-def first_last(spark, d):
-    at = F.struct("o_orderdate", "o_orderkey")
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", at).alias("gate"), F.max_by("o_orderkey", at).alias("last"))
-
-
 @query("op_W4", "SELECT l_orderkey, l_linenumber, min(CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END * 1000000000 + l_partkey) % 1000000000 AS kept FROM lineitem GROUP BY ALL")
 def preferred(spark, d):
     """Of repeated keys the preferred row, else the first: one aggregation, no sort."""

@@ -277,23 +277,6 @@ def repeated_rows(spark, d):
 _EV = "(SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)"
 
 
-@query("op_C1", f"SELECT user_id, coalesce(min(CASE WHEN event_type = 'purchase' THEN n END), max(n)) AS stopped_at FROM {_EV} GROUP BY 1")
-def stops(spark, d):
-    """Attempts in order up to the first that ends the loop: by aggregation, without a window over long histories."""
-    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
-    first = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("event_id").alias("stop"))
-    j = e.join(first, "user_id", "left")
-    return j.groupBy("user_id").agg(F.count_if(F.col("stop").isNull() | (F.col("event_id") <= F.col("stop"))).alias("stopped_at"))
-
-
-@query("op_C2", f"WITH a AS (SELECT DISTINCT record_id, source_artifact_id, locator FROM {_ITEMS} WHERE extraction_method = 'manual_curation'), b AS (SELECT DISTINCT record_id, source_artifact_id, locator FROM {_ITEMS} WHERE extraction_method <> 'manual_curation') SELECT record_id, count(*) AS carried FROM (SELECT * FROM a EXCEPT SELECT * FROM b) GROUP BY 1")
-def carried(spark, d):
-    """Verified evidence of the attempt before that the next one lacks."""
-    e = items(spark, d).select("record_id", "source_artifact_id", "locator", "extraction_method")
-    a, b = (e.where(f"extraction_method {op} 'manual_curation'").drop("extraction_method").distinct() for op in ("=", "<>"))
-    return a.subtract(b).groupBy("record_id").agg(F.count("*").alias("carried"))
-
-
 @query("op_C5", "SELECT DISTINCT task_id FROM llm_tasks ANTI JOIN (SELECT DISTINCT replace(case_id, 'case', 'task') AS t FROM annotations) a ON t = task_id")
 def unfinished(spark, d):
     done = table(spark, d, "annotations").select(F.replace("case_id", F.lit("case"), F.lit("task")).alias("task_id"))

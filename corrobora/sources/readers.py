@@ -177,6 +177,24 @@ def article_blocks(xml: pd.Series) -> pd.Series:
     return xml.map(one)
 
 
+@F.pandas_udf(BLOCKS)
+def abstract_blocks(xml: pd.Series) -> pd.Series:
+    """Of a publication record's XML its title (id 't') and abstract sections (a1, a2 ..); broken XML gives null."""
+
+    def one(data):
+        try:
+            root = None if data is None else ET.fromstring(data)
+        except ET.ParseError:
+            return None
+        if root is None:
+            return None
+        told = lambda e: " ".join("".join(e.itertext()).split())
+        titles = [{"id": "t", "kind": "title", "text": told(e)} for e in list(root.iter("ArticleTitle"))[:1]]
+        return titles + [{"id": f"a{n}", "kind": "p", "text": told(e)} for n, e in enumerate(root.iter("AbstractText"), 1)]
+
+    return xml.map(one)
+
+
 def resolver_facts(df: DataFrame, resolver: str, body: str) -> DataFrame:
     """Adds found, title, retracted, open_access and doi as a resolver's JSON answer tells them, for three shapes."""
     v = F.try_parse_json(body)
