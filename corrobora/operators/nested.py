@@ -14,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 100
-
 
 def _refuse(name: str) -> None:
     raise ValueError(name)
@@ -29,11 +27,12 @@ def triples(payload: str | None, lists: frozenset[str], wrappers: frozenset[str]
     """(path, ordinals, value, ancestor, wrapper) of every leaf of one JSON text, in reading order; nothing for text that isn't valid JSON.
 
     Paths join member names with dots; a list adds its place to the ordinals and nothing to the path. A lone value of a
-    member named in `lists` counts as a list of one. JSON objects or lists written inside a string are read as such.
+    member named in `lists` counts as a list of one. Objects written inside a string are read as such, lists if the member is named in `lists`.
     Objects under a top-level member named in `wrappers`, or that hold the member `wrapped` themselves (unless named in
     `never`), count as if they weren't wrapped. Empty lists and objects give
     no triple, null leaves give a null value. The ancestor is the path of the innermost list around the leaf, null where
-    none is; the wrapper names the members left out as such. Nesting beyond MAX_DEPTH counts as invalid.
+    none is; the wrapper names the members left out as such. Records of any depth that the parser
+    takes (thousands) count; of a member given twice the last counts, as everywhere in JSON.
     """
     if payload is None:
         return
@@ -42,25 +41,24 @@ def triples(payload: str | None, lists: frozenset[str], wrappers: frozenset[str]
     except (ValueError, RecursionError):
         return
     out: list[tuple[str, list[int], str | None, str | None, str]] = []
-    stack = [(top, "", [], False, 0, None, "")]
+    stack = [(top, "", [], False, None, "")]
     while stack:
-        node, path, at, listed, depth, above, wrapper = stack.pop()
-        if depth > MAX_DEPTH:
-            return
-        if isinstance(node, str) and node[:1] in ("{", "[") and node[-1:] in ("}", "]"):
+        node, path, at, listed, above, wrapper = stack.pop()
+        name = path.rpartition(".")[2]
+        if isinstance(node, str) and (node[:1] == "{" and node[-1:] == "}" or name in lists and node[:1] == "[" and node[-1:] == "]"):
             try:
                 node = _parse(node)
             except (ValueError, RecursionError):
                 pass
         if isinstance(node, list):
-            stack.extend((x, path, [*at, i], True, depth + 1, path, wrapper) for i, x in reversed(list(enumerate(node))))
+            stack.extend((x, path, [*at, i], True, path, wrapper) for i, x in reversed(list(enumerate(node))))
             continue
-        if path.rpartition(".")[2] in lists and not listed and node is not None:
+        if name in lists and not listed and node is not None:
             at, above = [*at, 0], path
         if isinstance(node, dict):
             for k, v in reversed(list(node.items())):
                 inside = path == "" and isinstance(v, dict) and (k in wrappers or wrapped is not None and wrapped in v and k not in never)
-                stack.append((v, "" if inside else f"{path}.{k}" if path else k, at, False, depth + 1, above, f"{wrapper}.{k}" if inside else wrapper))
+                stack.append((v, "" if inside else f"{path}.{k}" if path else k, at, False, above, f"{wrapper}.{k}" if inside else wrapper))
         else:
             out.append((path, at, node if isinstance(node, str) or node is None else json.dumps(node), above, wrapper))
     yield from out

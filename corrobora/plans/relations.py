@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import findings as R
 from ..operators import hierarchy
 from ..operators.timestamps import step
-from ..tables import table
+from ..tables import cut, table
 from .registry import Registry
 from .statistics import _A, _L, labels, notes
 from .texts import _ITEMS, cue_sql, items
@@ -104,19 +104,21 @@ def quotes(spark, d):
 
 def joined_quotes(e, docs):
     """(id, doc_id) of quotes (id, quote) contained in documents (doc_id, text). Quotes of fewer than five words are
-    refused. Both sides meet in a digest of words from inside the quote (it may start and stop inside a word): four, or
-    three for a quote of five words; containment is then tested on the whole texts."""
-    words = lambda c: F.split(F.col(c), " ")
-    e = step(e.where("quote is not null"), w=words("quote")).where(F.size("w") >= T.MIN_QUOTE_WORDS)
-    inner = [F.element_at("w", k) for k in (2, 3, 4, 5)]
-    e = e.withColumn("key", F.when(F.size("w") >= 6, F.xxhash64(*inner)).otherwise(F.xxhash64(*inner[:3])))
+    refused. A document holds a quote only if it holds all runs of three words inside it (the quote itself may start and stop inside
+    a word); each different quote is looked up by the run that fewest documents have, then tested on the whole texts."""
+    runs = lambda w, first, last: F.array_distinct(F.transform(F.sequence(first, last), lambda k: F.xxhash64(F.get(w, k), F.get(w, k + 1), F.get(w, k + 2))))
+    e = e.where("quote is not null").withColumn("q", F.xxhash64("quote", F.length("quote")))
+    quotes = step(e.select("q", "quote").distinct(), w=F.split("quote", " ")).where(F.size("w") >= T.MIN_QUOTE_WORDS)
+    quotes = cut(quotes.select("q", "quote", runs(F.col("w"), F.lit(1), F.size("w") - 4).alias("runs")))
     docs = docs.where("text is not null")
-    places = step(docs, w=words("text")).select("doc_id", F.posexplode("w").alias("k", "a"), "w")
-    at = lambda k: F.get("w", F.col("k") + k)
-    keys = places.where(F.col("k") + 2 < F.size("w")).select("doc_id", F.explode(F.array(F.xxhash64("a", at(1), at(2)), F.xxhash64("a", at(1), at(2), at(3)))).alias("key"))
-    # only keys that some quote asks for go on to be made distinct
-    asked = keys.join(e.select("key").distinct(), "key", "left_semi").distinct()
-    return e.select("id", "quote", "key").join(asked, "key").join(docs, "doc_id").where(F.contains("text", "quote")).select("id", "doc_id")
+    held = step(docs.select("doc_id", "text"), w=F.split("text", " ")).where(F.size("w") >= 3).select("doc_id", F.explode(runs(F.col("w"), F.lit(0), F.size("w") - 3)).alias("key"))
+    asked = quotes.select("q", F.size("runs").alias("need"), F.explode("runs").alias("key"))
+    held = cut(held.join(asked.select("key").distinct(), "key", "left_semi"))
+    usual = held.groupBy("key").agg(F.count("*").alias("n"))
+    best = asked.join(usual, "key").groupBy("q").agg(F.count("*").alias("met"), F.first("need").alias("need"), F.min_by("key", "n").alias("key")).where("met = need").select("q", "key")
+    pairs = best.join(held, "key").join(quotes.select("q", "quote"), "q").select("q", "quote", F.col("doc_id").alias("of"))
+    true = pairs.join(docs.select("doc_id", "text"), (F.col("of") == F.col("doc_id")) & F.contains("text", "quote")).select("quote", "doc_id")
+    return e.select("id", "quote").join(true, "quote").select("id", "doc_id")
 
 
 @query("op_J9", "SELECT s_nationkey, bool_and(p_size > 1) AS all_larger FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1")

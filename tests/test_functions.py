@@ -1,5 +1,6 @@
 import math
 import random
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -106,3 +107,24 @@ def test_joined_quotes(spark):
     got = joined_quotes(spark.createDataFrame(quotes, "id int, quote string"), spark.createDataFrame(docs, "doc_id int, text string")).distinct()
     want = {(i, j) for i, q in quotes for j, t in docs if q is not None and t is not None and len(q.split(" ")) >= 5 and q in t}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_plain_and_in_paper(spark):
+    marks = str.maketrans("‘’“”–—−", "''\"\"---")
+
+    def plain(t):
+        t = " ".join(unicodedata.normalize("NFKC", t).translate(marks).split())
+        for a in ")],.;:":
+            t = t.replace(" " + a, a)
+        return t.replace("( ", "(").replace("[ ", "[")
+
+    texts = ["( Figure 2 ) , ﬁne – “x”", "a\u00a0 b\u3000c .", "", "x [ 3 ] ;", "ｗｉｄｅ ² text"]
+    assert column(spark, [*texts, None], text.plain) == [*map(plain, texts), None]
+    rows = [("ends here.", "It ends here ( Table 2 ).", True), ("ends here.", "It ends here because", False), ("ends here.", "ends here because ends here (a) (b); c", True), ("“so”", 'it is "so" now', True), ("", "x", False), ("...", "abc", False), ("q\\E.", "say q\\E", True)]
+    df = spark.createDataFrame([(k, q, t) for k, (q, t, _) in enumerate(rows)], "k int, q string, t string")
+    assert [r.v for r in df.select("k", text.in_paper(F.col("q"), F.col("t")).alias("v")).orderBy("k").collect()] == [r[2] for r in rows]
+
+
+def test_fresh(spark):
+    df = spark.createDataFrame([(1, "a", 1, []), (2, "a", 1, ["a"]), (3, "a", 2, ["a-2", "a-3"]), (4, "a", 3, ["x"])], "k int, b string, n int, t array<string>")
+    assert [r.v for r in df.select("k", text.fresh(F.col("b"), F.col("n"), F.col("t")).alias("v")).orderBy("k").collect()] == ["a", "a-2", "a-4", "a-3"]

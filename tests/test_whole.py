@@ -201,3 +201,16 @@ def test_hints(run, spark, tmp_path):
             inside.sort(key=lambda n: (len(n), n))
             want[k] = "; ".join(inside[:3] or difflib.get_close_matches(key, known, 3, 0.75))
     assert {r.case_id: r.hint for r in rows} == want and want[3]
+
+
+def test_deep_records_and_bracketed_titles(run):
+    deep = {"pmid": 7, "note": "[1]", "title": "[2]"}
+    inner = 5
+    for _ in range(400):
+        inner = {"x": [inner]}
+    record = json.dumps({"citations": [deep], "extra": inner})
+    assert [(r.field_path, r.pos, r["item"]) for r in run("p3_found", "episodes", [(1, record)], "episode_id long, payload string")] == [("citations.pmid", 0, "7")]
+    from corrobora.operators.nested import triples
+
+    got = list(triples(record, frozenset(["citations"]), frozenset()))
+    assert ("citations.title", [0], "[2]", "citations", "") in got and any(len(t[1]) == 400 for t in got)
