@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import cut, cut_counted
+from ..tables import cut, cut_counted, release
 
 #: Chains are shortened every so many rounds; between, leaves are taken alone, which is cheaper.
 SHORTEN = 3
@@ -249,17 +249,21 @@ def roots(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = F.lit(1).cast("long").alias("steps")
     single = up.where("n = 1").select(F.col("node").alias("child"), F.col("parent").alias("top"), one)
     runs, loops = _runs(single)
+    release(nodes.sparkSession)
     ways = _meet(edges, up.where("n > 1").select(F.col("node").alias("child")), "child", "left_semi")
     ways = _meet(ways, runs.select(F.col("child").alias("parent"), F.col("top"), F.col("steps").alias("more")), "parent", "left")
     ways = cut(_meet(ways, single.select(F.col("child").alias("parent"), F.lit(True).alias("run")), "parent", "left").where("run is null or top is not null").select("child", F.coalesce("top", "parent").alias("parent"), (F.coalesce("more", F.lit(0)) + 1).alias("steps"), F.when(F.col("run"), F.col("parent")).alias("by")))
     links = cut(ways.groupBy("child", "parent").agg(F.min("steps").alias("steps")))
     rounds, rest, _ = peel(links, 0)
+    release(nodes.sparkSession)
     top = up.where("n is null").select("node", F.col("node").alias("item"), F.lit(0).cast("long").alias("steps"))
     found, cyclic = [top], [] if loops is None else [loops]
     if rest is not None:
         tangle = _within(links, rest)
         found.append(_spread(_meet(top, rest, "node", "left_semi"), tangle).where("steps > 0"))
+        release(nodes.sparkSession)
         _, core, _ = peel(_turned(tangle), 0)
+        release(nodes.sparkSession)
         if core is not None:
             knots = cut(_cyclic(_within(tangle, core).select("child", "parent")))
             cyclic.append(knots.select("node"))
@@ -268,9 +272,11 @@ def roots(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
             walk = mine.select(F.col("by").alias("node"), F.lit("").alias("item"), F.lit(0).cast("long").alias("steps")).distinct()
             cyclic.append(_spread(walk, single.join(runs.select("child"), "child", "left_semi").join(single.select(F.col("child").alias("top")), "top", "left_semi").select(F.col("top").alias("child"), F.col("child").alias("parent"), F.lit(0).cast("long").alias("steps"))).select("node"))
     met = cut(_all(found))
+    release(nodes.sparkSession)
     for r in reversed(rounds):  # one table throughout, so that every round runs the same compiled plan
         taken = _meet(r.ups.withColumnRenamed("steps", "more"), met.withColumnRenamed("node", "parent"), "parent")
         met = cut(met.unionByName(taken.groupBy(F.col("child").alias("node"), "item").agg(F.min(F.col("steps") + F.col("more")).alias("steps"))))
+    release(nodes.sparkSession)
     along = runs.withColumnRenamed("steps", "more").join(met.withColumnRenamed("node", "top"), "top").select(F.col("child").alias("node"), "item", (F.col("steps") + F.col("more")).alias("steps"))
     return met.unionByName(along).withColumnRenamed("item", "origin"), cut(_all(cyclic).distinct()) if cyclic else up.select("node").limit(0)
 

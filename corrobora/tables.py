@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,12 @@ def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, i
     return out, seen.get
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver forget finished rounds: their plans and compiled classes are collected, their shuffles and broadcasts removed."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut_by(df: DataFrame, *columns: str) -> DataFrame:
     """As cut(), dealt by the columns and sorted by them, in a way that later groupings and windows over them see.
 
