@@ -158,19 +158,20 @@ def _cyclic(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         colour = cut(edges.select(F.explode(F.array("child", "parent")).alias("node")).distinct().withColumn("colour", F.col("node")))
         while True:
-            push = edges.join(colour, F.col("parent") == F.col("node")).select(F.col("child").alias("node"), "colour")
+            push = _meet(edges, colour.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"), "colour")
             new = cut(colour.unionByName(push).groupBy("node").agg(F.max("colour").alias("colour")))
-            if new.join(colour, ["node", "colour"], "left_anti").isEmpty():
+            if _meet(new, colour, ["node", "colour"], "left_anti").isEmpty():
                 break
             colour = new
         inner = cut(edges.join(colour.withColumnsRenamed({"node": "child", "colour": "c1"}), "child").join(colour.withColumnsRenamed({"node": "parent", "colour": "c2"}), "parent").where("c1 = c2").select("child", "parent", F.col("c1").alias("colour")))
         part = front = cut(colour.where("node = colour"))
         while True:
-            up = inner.join(front.withColumnRenamed("node", "child"), ["child", "colour"]).select(F.col("parent").alias("node"), "colour").distinct()
-            front = cut(up.join(part, ["node", "colour"], "left_anti"))
+            up = _meet(inner, front.withColumnRenamed("node", "child"), ["child", "colour"]).select(F.col("parent").alias("node"), "colour").distinct()
+            front = cut(_meet(up, part, ["node", "colour"], "left_anti"))
             if front.isEmpty():
                 break
             part = cut(part.unionByName(front))
+        release(edges.sparkSession)
         found.append(cut(part.join(part.groupBy("colour").count().where("count > 1"), "colour", "left_semi").select("node", "colour")))
         rest = inner.join(part.select(F.col("node").alias("child")), "child", "left_anti").join(part.select(F.col("node").alias("parent")), "parent", "left_anti")
         edges = cut(rest.select("child", "parent"))
@@ -213,6 +214,7 @@ def _spread(start: DataFrame, edges: DataFrame) -> DataFrame:
         both = known.select("node", "item", "steps", F.col("steps").alias("old")).unionByName(ahead).groupBy("node", "item").agg(F.min("steps").alias("steps"), F.min("old").alias("old"))
         known, n = cut_counted(both.select("node", "item", "steps", (F.col("old").isNull() | (F.col("steps") < F.col("old"))).alias("new")), new=F.col("new"))
         moved = n["new"]
+    release(edges.sparkSession)
     return known.drop("new")
 
 
