@@ -129,10 +129,11 @@ def for_all(spark, d):
 
 @query("op_J11")
 def inherited(spark, d):
-    """Relations of a term and of all its ancestors, by the closure of the hierarchy."""
+    """Relations of a term and of all its ancestors, by a walk down from the terms that have any."""
     t = table(spark, d, "terms")
     own = t.select(F.col("id").alias("ancestor"), F.explode("relations").alias("r")).select("ancestor", "r.rel", "r.target").distinct()
-    return hierarchy.descendants(t).join(own, "ancestor").select(F.col("descendant").alias("term_id"), "rel", "target").distinct()
+    below = hierarchy.under(own.select(F.col("ancestor").alias("node")).distinct(), cut(hierarchy.term_edges(t)[1]))
+    return below.withColumnRenamed("start", "ancestor").join(own, "ancestor").select(F.col("node").alias("term_id"), "rel", "target").distinct()
 
 
 @query("op_J12", f"SELECT l.reviewer_id, l.case_id, l.requested_use, t.source IS NULL AS without_task FROM {_L} l LEFT JOIN (SELECT DISTINCT replace(task_id, 'task', 'case') AS case_id, true AS source FROM llm_tasks) t USING (case_id)")
